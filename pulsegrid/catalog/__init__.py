@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.catalog import extract
+from pulsegrid.catalog import extract, windows
 
-_MODULES = [extract]
+_MODULES = [extract, windows]
 
 
 def all_queries() -> dict:

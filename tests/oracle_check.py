@@ -1,11 +1,12 @@
 """Compare registered queries with their SQL on DuckDB.
 
-    python -m tests.oracle_check [names...]
+    python -m tests.oracle_check [names... | @catalog_module...]
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import importlib
 import math
 import os
 import sys
@@ -69,7 +70,9 @@ def main(argv):
     spark = local_session()
     con = connect(sf_dir)
     qs, sqls = e.queries(), e.oracle_sql()
-    names = argv or list(qs)
+    names = []
+    for a in argv or list(qs):
+        names += list(importlib.import_module(f"pulsegrid.catalog.{a[1:]}").QUERIES) if a[0] == "@" else [a]
     failed = []
     for name in names:
         t0 = time.time()
