@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.catalog import extract, windows
+from pulsegrid.catalog import extract, features, windows
 
-_MODULES = [extract, windows]
+_MODULES = [extract, windows, features]
 
 
 def all_queries() -> dict:
