@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.catalog import extract, features, windows
+from pulsegrid.catalog import evaluate, extract, features, prepare, windows
 
-_MODULES = [extract, windows, features]
+_MODULES = [extract, windows, features, evaluate, prepare]
 
 
 def all_queries() -> dict:
