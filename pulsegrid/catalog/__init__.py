@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.catalog import evaluate, extract, features, prepare, windows
+from pulsegrid.catalog import cluster, evaluate, extract, features, forecast, prepare, windows
 
-_MODULES = [extract, windows, features, evaluate, prepare]
+_MODULES = [extract, windows, features, evaluate, prepare, cluster, forecast]
 
 
 def all_queries() -> dict:

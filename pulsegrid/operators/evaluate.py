@@ -52,20 +52,21 @@ def centre_scores(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     table = cents.join(spread, [*keys, "label"])
     others = table.groupBy(*keys).agg(
         F.collect_list(F.struct("label", "scatter", "centre", "size")).alias("others"),
-        F.sum("size").alias("n"), F.count("*").alias("k"))
+        F.sum("size").alias("n_rows"), F.count("*").alias("n_labels"))
     both = table.join(others, keys)
     ratio = F.array_max(F.transform(
         F.filter("others", lambda o: o["label"] != F.col("label")),
         lambda o: F.try_divide(F.col("scatter") + o["scatter"], euclid(F.col("centre"), o["centre"]))))
     dim = F.size("centre")
     grand = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.aggregate(
-        "others", F.lit(0.0), lambda s, o: s + F.get(o["centre"], i) * o["size"]) / F.col("n"))
+        "others", F.lit(0.0), lambda s, o: s + F.get(o["centre"], i) * o["size"]) / F.col("n_rows"))
     gap = euclid(F.col("centre"), grand)
     out = both.withColumns({"ratio": ratio, "between": F.col("size") * gap * gap}).groupBy(*keys).agg(
         F.avg("ratio").alias("davies_bouldin"),
-        F.sum("between").alias("bk"), F.sum("within").alias("wk"), F.max("n").alias("n"), F.max("k").alias("k"))
-    ch = F.try_divide(F.col("bk") * (F.col("n") - F.col("k")), F.col("wk") * (F.col("k") - 1))
-    one = F.col("k") <= 1
+        F.sum("between").alias("bk"), F.sum("within").alias("wk"), F.max("n_rows").alias("n_rows"),
+        F.max("n_labels").alias("n_labels"))
+    ch = F.try_divide(F.col("bk") * (F.col("n_rows") - F.col("n_labels")), F.col("wk") * (F.col("n_labels") - 1))
+    one = F.col("n_labels") <= 1
     scored = out.select(
         *keys, F.when(one, -1.0).otherwise(F.col("davies_bouldin")).alias("davies_bouldin"),
         F.when(one, -1.0).otherwise(ch).alias("calinski_harabasz"))
