@@ -9,6 +9,7 @@ from pulsegrid.catalog.evaluate import vectors
 from pulsegrid.catalog.features import _fleet_base
 from pulsegrid.operators import cluster as C, elastic as X, evaluate as E, features as FX, prepare as P, series as S
 from pulsegrid.plans import elastic as EP, features as FP
+from pulsegrid.session import settle
 from pulsegrid.sources import views as V
 
 EPS, MIN_SAMPLES = 1.2, 8
@@ -48,7 +49,7 @@ def _reduced(s, d):
 
 
 def _gmm(s, d):
-    data = _reduced(s, d).persist()
+    data = settle(_reduced(s, d))
     out = None
     for kind in ("full", "tied", "diag"):
         one = C.gmm(data, 3, kind).withColumn("kind", F.lit(kind))
@@ -62,18 +63,18 @@ def fleet_table(s, d):
     out = FX.basic(b)
     for f in (FX.percentiles, FX.diffs, FX.profile, FX.trend_acf):
         out = out.join(f(b), "ci_name", "left")
-    return out
+    return settle(out)
 
 
 def _time_profile(s, d):
-    score, k, labels = FP.time_profile(fleet_table(s, d).persist(), restarts=5)
+    score, k, labels = FP.time_profile(fleet_table(s, d), restarts=5)
     return labels.withColumns({"k": F.lit(k), "silhouette": F.lit(score)})
 
 
 def _clean(s, d):
-    t = fleet_table(s, d).persist()
+    t = fleet_table(s, d)
     cols = FP.numeric_columns(t)
-    full = P.impute_median_mode(t, cols, []).persist()
+    full = settle(P.impute_median_mode(t, cols, []))
     live = [r["column_name"] for r in P.null_report(full, cols).filter("missing_values = 0").collect()]
     return full, P.variance_keep(full, live)
 
@@ -97,7 +98,7 @@ def _elastic_pairs(s, d):
 
 
 def _elastic_runs(s, d):
-    series = S.prepare_series(V.supplier_weekly(s, d)).persist()
+    series = settle(S.prepare_series(V.supplier_weekly(s, d)))
     return EP.compare_distances(series, ("dtw", "lcss", "msm"))[0]
 
 

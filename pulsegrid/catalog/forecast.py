@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import forecast as M, lags as L
 from pulsegrid.plans import forecasting as P
+from pulsegrid.session import settle
 from pulsegrid.sources import views as V
 from pulsegrid.catalog.duck import sql
 from pulsegrid.catalog.util import rounded
@@ -25,7 +26,7 @@ def _predict(model):
 
 
 def _best(s, d):
-    data = _rows(s, d, 2).persist()
+    data = settle(_rows(s, d, 2))
     out = None
     for c in (0, 1):
         fits, _, _ = P.run_cluster(data.filter(F.col("cluster") == c), M.LINEAR, 3, folds=3, space=QUICK)

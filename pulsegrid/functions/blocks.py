@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.joins import lookup_join
+from pulsegrid.session import cut_lineage
 
 BLOCK_ROWS = 1_000
 Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
 
 
-def _slabs(df: DataFrame, coord: Column | None, reach: float | None, target: int) -> DataFrame:
-    if coord is None:
-        return df.withColumn("_slab", F.lit(0).cast("long"))
+def _slabs(df: DataFrame, coord: Column, reach: float, target: int) -> DataFrame:
     ends = df.agg(F.min(coord).alias("lo"), F.max(coord).alias("hi"), F.count("*").alias("n")).first()
     if ends["lo"] is None:
         return df.withColumn("_slab", F.lit(0).cast("long"))
@@ -35,13 +34,17 @@ def _slabs(df: DataFrame, coord: Column | None, reach: float | None, target: int
 def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | None = None,
          reach: float | None = None, target: int = BLOCK_ROWS) -> DataFrame:
     """Run ``kernel(left, right, same_block)`` once for every two blocks in reach."""
-    rows = _slabs(df, coord, reach, target)
-    subs = rows.groupBy("_slab").agg(F.ceil(F.count("*") / target).cast("int").alias("_own"))
-    up = subs.select((F.col("_slab") - 1).alias("_slab"), F.col("_own").alias("_up"))
-    down = subs.select((F.col("_slab") + 1).alias("_slab"), F.col("_own").alias("_down"))
-    plan = subs.join(up, "_slab", "left").join(down, "_slab", "left").fillna(0, ["_up", "_down"])
-    placed = lookup_join(rows, plan, "_slab", "inner", salt_on=[key]).withColumn(
-        "_b", F.pmod(F.xxhash64(key), F.col("_own")).cast("int"))
+    if coord is None:
+        blocks = df.agg(F.greatest(F.ceil(F.count("*") / target), F.lit(1)).cast("int")).scalar()
+        placed = df.withColumns({"_slab": F.lit(0).cast("long"), "_own": blocks, "_up": F.lit(0), "_down": F.lit(0)})
+    else:
+        rows = _slabs(df, coord, reach, target)
+        subs = cut_lineage(rows.groupBy("_slab").agg(F.ceil(F.count("*") / target).cast("int").alias("_own")))
+        up = subs.select((F.col("_slab") - 1).alias("_slab"), F.col("_own").alias("_up"))
+        down = subs.select((F.col("_slab") + 1).alias("_slab"), F.col("_own").alias("_down"))
+        plan = subs.join(up, "_slab", "left").join(down, "_slab", "left").fillna(0, ["_up", "_down"])
+        placed = lookup_join(rows, plan, "_slab", "inner", salt_on=[key])
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64(key), F.col("_own")).cast("int"))
 
     def meetings(count: str, fn) -> Column:
         none = F.expr("CAST(array() AS array<struct<sa:bigint,ba:int,sb:bigint,bb:int,side:int>>)")
@@ -59,12 +62,21 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
     below = meetings("_down", lambda c: tag(s - 1, c, s, b, F.lit(1)))
     spread = placed.withColumn("_m", F.explode(F.concat(own, above, below))).select(*df.columns, "_m.*")
 
+    kinds = {"string": object, "double": "float64", "long": "int64"}
+    columns = {name: kinds[kind] for name, kind in (part.split() for part in schema.split(","))}
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy()
         data = pdf.drop(columns=["sa", "ba", "sb", "bb", "side"])
         if (side == 2).any():
-            return kernel(data, data, True)
-        return kernel(data[side == 0], data[side == 1], False)
+            out = kernel(data, data, True)
+        elif (side == 0).any() and (side == 1).any():
+            out = kernel(data[side == 0], data[side == 1], False)
+        else:
+            out = None
+        if out is None or not len(out):
+            return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in columns.items()})
+        return out
 
     return spread.groupBy("sa", "ba", "sb", "bb").applyInPandas(run, schema)
 

@@ -13,6 +13,7 @@ from pulsegrid.functions import blocks as B
 from pulsegrid.functions.joins import lookup_join
 from pulsegrid.operators import elastic as X, evaluate as E
 from pulsegrid.operators.graph import components
+from pulsegrid.session import cut_lineage
 
 START_ROWS = 4_096
 SEED = 42
@@ -258,7 +259,7 @@ def neighbour_counts(df: DataFrame, eps: float, target: int = B.BLOCK_ROWS) -> D
             np.fill_diagonal(near, True)
             return pd.DataFrame({"item": left["item"].to_numpy(), "n": near.sum(axis=1)})
         if not near.size:
-            return pd.DataFrame({"item": [], "n": []})
+            return None
         return pd.DataFrame({"item": np.concatenate([left["item"], right["item"]]),
                              "n": np.concatenate([near.sum(axis=1), near.sum(axis=0)])})
 
@@ -273,7 +274,7 @@ def threshold_forest(df: DataFrame, limit: float, metric: str = "euclidean", coo
     def kernel(left, right, same):
         adj = B.METRICS[metric](B.stack(left["vec"]), B.stack(right["vec"])) <= limit + 1e-12
         if not adj.size:
-            return pd.DataFrame({"src": pd.Series(dtype=object), "dst": pd.Series(dtype=object)})
+            return None
         return B.spanning_edges(adj, left["item"].to_numpy(), right["item"].to_numpy(), same)
 
     return B.meet(df, "item", kernel, "src string, dst string", coord, limit, target)
@@ -286,7 +287,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_RO
     """
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
     counted = lookup_join(slim, neighbour_counts(df, eps, target), "item", "inner", salt_on=["item"])
-    marked = counted.withColumn("is_core", (F.col("neighbours") >= min_samples).cast("int"))
+    marked = cut_lineage(counted.withColumn("is_core", (F.col("neighbours") >= min_samples).cast("int")))
     core = marked.filter("is_core = 1").select("item", "vec")
     groups = components(threshold_forest(core, eps, coord=_first_coordinate(), target=target))
     named = core.select("item").join(groups, F.col("item") == F.col("node"), "left").select(
@@ -303,8 +304,8 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_RO
                 at = sub.argmin(axis=1)
                 out.append(pd.DataFrame({"item": rows["item"].to_numpy()[lone], "core": cols["item"].to_numpy()[cores[at]],
                                          "d": sub[np.arange(len(lone)), at]}))
-        found = pd.concat(out) if out else pd.DataFrame({"item": [], "core": [], "d": []})
-        return found[found["d"] <= eps]
+        found = pd.concat(out) if out else None
+        return None if found is None else found[found["d"] <= eps]
 
     near = B.meet(marked.select("item", "vec", "is_core"), "item", nearest_core, "item string, core string, d double",
                   _first_coordinate(), eps, target)
@@ -341,7 +342,7 @@ def signatures(partitions: DataFrame) -> DataFrame:
     coded = partitions.select("partition_id", "item", F.pmod(F.xxhash64(F.col("label").cast("string")), F.lit(1 << 50)).alias("c"))
     rows = coded.groupBy("item").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("partition_id", "c"))), lambda s: s["c"].cast("double")).alias("vec"))
-    return rows.withColumn("signature", F.sha2(F.array_join(F.col("vec").cast("array<string>"), "|"), 256))
+    return cut_lineage(rows.withColumn("signature", F.sha2(F.array_join(F.col("vec").cast("array<string>"), "|"), 256)))
 
 
 def coassociation(partitions: DataFrame, share: float = 0.5) -> DataFrame:
@@ -357,7 +358,7 @@ def coassociation(partitions: DataFrame, share: float = 0.5) -> DataFrame:
         a, b = B.stack(left["vec"]), B.stack(right["vec"])
         agree = 1 - B.disagreement(a, b)
         if not agree.size:
-            return pd.DataFrame({"item": [], "total": [], "close": []})
+            return None
         wl, wr = left["w"].to_numpy(float), right["w"].to_numpy(float)
         close = (agree >= share - 1e-12).astype(float)
         out = [pd.DataFrame({"item": left["item"].to_numpy(), "total": agree @ wr, "close": close @ wr})]

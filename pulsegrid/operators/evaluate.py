@@ -93,8 +93,6 @@ def silhouette_items(df: DataFrame, target: int = B.BLOCK_ROWS) -> DataFrame:
                 "item": np.repeat(rows["item"].to_numpy(), len(names)), "label": np.repeat(rows["label"].to_numpy(), len(names)),
                 "other": np.tile(names, len(rows)), "total": total.ravel()})
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"item": [], "label": [], "other": [], "total": []})
         parts = [side(left, right, d)] + ([] if same else [side(right, left, d.T)])
         return pd.concat(parts)
 

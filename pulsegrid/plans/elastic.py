@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 
 from pulsegrid.functions import elastic as K
 from pulsegrid.operators import elastic as X, evaluate as E, series as S
+from pulsegrid.session import settle
 
 
 def compare_distances(series: DataFrame, names: tuple[str, ...] = tuple(K.DISTANCES), ks: tuple[int, ...] = X.K_RANGE,
                       size: int = X.COMPARE_SAMPLE, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored runs, labels and the sampled series."""
-    sample = X.sample_series(series, size, seed).persist()
-    pairs = X.pair_distances(sample, names).persist()
-    labels = X.kmedoids(pairs, ks, seed).persist()
+    sample = settle(X.sample_series(series, size, seed))
+    pairs = settle(X.pair_distances(sample, names))
+    labels = settle(X.kmedoids(pairs, ks, seed))
     return X.score_runs(sample, pairs, labels), labels, sample
 
 
 def cluster_fleet(df: DataFrame, names: tuple[str, ...] = tuple(K.DISTANCES), ks: tuple[int, ...] = X.K_RANGE,
                   size: int = X.COMPARE_SAMPLE, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Assignments of every fenced series and the best setting per distance."""
-    series = S.prepare_series(df).persist()
+    series = settle(S.prepare_series(df))
     runs, labels, sample = compare_distances(series, names, ks, size, seed)
     best = E.best_per_group(runs).persist()
     top = best.orderBy(best["combined_score"].desc(), "distance").first()

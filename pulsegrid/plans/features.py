@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.operators import cluster as C, evaluate as E, features as X, prepare as P, series_kernels as K
+from pulsegrid.session import cut_lineage, settle
 
 REPRESENTATIONS = ("original", "pca", "power", "quantile")
 
@@ -21,7 +22,7 @@ def feature_table(df: DataFrame, static: list[str] | None = None, kernels: bool
         blocks.append(K.kernel_table(base))
     if static:
         blocks.append(X.static_first(df, static))
-    return reduce(lambda a, b: a.join(b, "ci_name", "left"), blocks)
+    return cut_lineage(reduce(lambda a, b: a.join(b, "ci_name", "left"), blocks))
 
 
 def select_columns(table: DataFrame, cols: list[str]) -> list[str]:
@@ -38,9 +39,9 @@ def numeric_columns(table: DataFrame) -> list[str]:
 def clean_table(table: DataFrame) -> tuple[DataFrame, list[str]]:
     """Impute, remove outliers, select columns."""
     cols = numeric_columns(table)
-    full = P.impute_median_mode(table, cols, [c for c, t in table.dtypes if t == "string" and c != "ci_name"])
+    full = settle(P.impute_median_mode(table, cols, [c for c, t in table.dtypes if t == "string" and c != "ci_name"]))
     cols = [c for c in cols if c not in {r["column_name"] for r in P.null_report(full, cols).filter("missing_values > 0").collect()}]
-    kept = P.drop_outliers(full, "ci_name", cols)
+    kept = settle(P.drop_outliers(full, "ci_name", cols))
     return kept, select_columns(kept, cols)
 
 
@@ -61,8 +62,8 @@ def represent(table: DataFrame, cols: list[str], kind: str) -> DataFrame:
 
 def best_kmeans(vectors: DataFrame, ks: tuple[int, ...], restarts: int = 20) -> tuple[float, int, DataFrame]:
     """Highest silhouette over ``ks``."""
-    data = vectors.persist()
-    labels = C.kmeans(data, ks, restarts).persist()
+    data = settle(vectors)
+    labels = settle(C.kmeans(data, ks, restarts))
     found = []
     for k in ks:
         one = labels.filter(F.col("k") == k).select("item", "label")
@@ -108,17 +109,17 @@ def sweep(representations: dict[str, DataFrame], ks: tuple[int, ...] = tuple(ran
         labelled.append(labels.select(F.lit(run_id).alias("run_id"), F.lit(rep).alias("rep"), F.col("item").cast("string").alias("item"),
                                       F.col("label").cast("string").alias("label")))
 
-    data = {r: v.persist() for r, v in representations.items()}
+    data = {r: settle(v) for r, v in representations.items()}
     for rep, vectors in data.items():
         if "kmeans" in algorithms:
             span = ks if rep in ("original", "pca") else few
-            labels = C.kmeans(vectors, span, restarts).persist()
+            labels = settle(C.kmeans(vectors, span, restarts))
             for k in span:
                 add(f"kmeans_{rep}_k{k}", rep, labels.filter(F.col("k") == k))
     base = data.get("original", next(iter(data.values())))
     name = "original" if "original" in data else next(iter(data))
     if "kmedoids" in algorithms:
-        labels = C.kmedoids_vectors(base, ks).persist()
+        labels = settle(C.kmedoids_vectors(base, ks))
         for k in ks:
             add(f"kmedoids_k{k}", name, labels.filter(F.col("k") == k))
     for k in ks:
@@ -128,10 +129,10 @@ def sweep(representations: dict[str, DataFrame], ks: tuple[int, ...] = tuple(ran
         if "bisecting" in algorithms:
             add(f"bisecting_k{k}", name, C.bisecting(base, k))
     if "dbscan" in algorithms:
-        grid = C.dbscan_grid(base, eps, mins).persist()
+        grid = settle(C.dbscan_grid(base, eps, mins))
         for (run_id,) in sorted(tuple(r) for r in grid.select("run_id").distinct().collect()):
             add(run_id, name, grid.filter(F.col("run_id") == run_id))
-    assignments = reduce(DataFrame.unionByName, labelled).persist()
+    assignments = settle(reduce(DataFrame.unionByName, labelled))
     return score_assignments(data, assignments), assignments
 
 
@@ -141,7 +142,7 @@ def score_assignments(data: dict[str, DataFrame], assignments: DataFrame) -> Dat
     for run_id, rep in sorted((r["run_id"], r["rep"]) for r in assignments.select("run_id", "rep").distinct().collect()):
         vectors = data[rep].withColumn("item", F.col("item").cast("string"))
         labels = assignments.filter(F.col("run_id") == run_id).select("item", "label")
-        joined = vectors.join(labels, "item").persist()
+        joined = settle(vectors.join(labels, "item"))
         sizes = E.cluster_sizes(labels).first()
         sil = E.silhouette(joined).first()[0]
         centre = E.centre_scores(joined).first()

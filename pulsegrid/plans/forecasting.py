@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.operators import forecast as M, lags as L, prepare as P, split as S
+from pulsegrid.session import settle
 from pulsegrid.sources.writers import save_model, write_result
 
 # Search trials per model.
@@ -57,14 +58,14 @@ def run_cluster(data: DataFrame, models: Iterable[str] = M.MODELS, trials: dict
     """Fits, the best pipeline and the test predictions of one cluster's prepared rows."""
     numeric, text = M.feature_columns(data)
     train, test = split_sets(data, numeric)
-    train = train.persist()
+    train, test = settle(train), settle(test)
     try:
         rows = train.count()
         big = rows >= M.BIG_ROWS
         used = selected(train, numeric) if select else numeric
         shape = M.design(train, used, text, one_hot=not big)
         keep = ["ci_name", "event_date_time", "cluster", M.TARGET, "features"]
-        x, y = shape.transform(train).select(*keep).persist(), shape.transform(test).select(*keep).persist()
+        x, y = settle(shape.transform(train).select(*keep)), settle(shape.transform(test).select(*keep))
         names = [m for m in models if not (big and m == "forest")]
         budget = trials if isinstance(trials, int) else None
         fits = [M.tune_and_fit(x, y, m, budget or (trials or TRIALS)[m], folds or (3 if big else 5), seed, space) for m in names]
@@ -75,6 +76,7 @@ def run_cluster(data: DataFrame, models: Iterable[str] = M.MODELS, trials: dict
         return fits, pipe, pred
     finally:
         train.unpersist()
+        test.unpersist()
 
 
 def run(spark: SparkSession, df: DataFrame, clusters: DataFrame, out: str, static: DataFrame | None = None, **options) -> DataFrame:

@@ -49,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """For a table that many small jobs read: written once, cached, and with a short plan.
+
+    A lost executor costs a re-read of the written copy, not the work behind it.
+    """
+    return cut_lineage(df).persist()
