@@ -20,6 +20,7 @@ from pulsegrid.functions.joins import lookup_join
 from pulsegrid.session import cut_lineage
 
 BLOCK_ROWS = 1_000
+MAX_TASKS = 20_000
 Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
 
 
@@ -35,14 +36,17 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
          reach: float | None = None, target: int = BLOCK_ROWS) -> DataFrame:
     """Run ``kernel(left, right, same_block)`` once for every two blocks in reach."""
     if coord is None:
-        blocks = df.agg(F.greatest(F.ceil(F.count("*") / target), F.lit(1)).cast("int")).scalar()
-        placed = df.withColumns({"_slab": F.lit(0).cast("long"), "_own": blocks, "_up": F.lit(0), "_down": F.lit(0)})
+        blocks = max(1, -(-df.count() // target))
+        meetings_n = blocks * (blocks + 1) // 2
+        placed = df.withColumns({"_slab": F.lit(0).cast("long"), "_own": F.lit(blocks), "_up": F.lit(0), "_down": F.lit(0)})
     else:
         rows = _slabs(df, coord, reach, target)
         subs = cut_lineage(rows.groupBy("_slab").agg(F.ceil(F.count("*") / target).cast("int").alias("_own")))
         up = subs.select((F.col("_slab") - 1).alias("_slab"), F.col("_own").alias("_up"))
         down = subs.select((F.col("_slab") + 1).alias("_slab"), F.col("_own").alias("_down"))
         plan = subs.join(up, "_slab", "left").join(down, "_slab", "left").fillna(0, ["_up", "_down"])
+        n = F.col("_own").cast("long")
+        meetings_n = plan.agg(F.sum(n * (n + 1) / 2 + n * F.col("_up"))).first()[0] or 1
         placed = lookup_join(rows, plan, "_slab", "inner", salt_on=[key])
     placed = placed.withColumn("_b", F.pmod(F.xxhash64(key), F.col("_own")).cast("int"))
 
@@ -78,7 +82,9 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
             return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in columns.items()})
         return out
 
-    return spread.groupBy("sa", "ba", "sb", "bb").applyInPandas(run, schema)
+    # the work grows with the square of the bytes, so tasks are counted by meetings, not by size
+    tasks = int(min(max(2 * meetings_n, 1), MAX_TASKS))
+    return spread.repartition(tasks, "sa", "ba", "sb", "bb").groupBy("sa", "ba", "sb", "bb").applyInPandas(run, schema)
 
 
 def stack(col: pd.Series) -> np.ndarray:

@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 SALTS = 16
 
 
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by key for compute-heavy group kernels.
+
+    A fixed count keeps adaptive execution from merging small but slow groups into one task.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 salt_on: list[str] | None = None, salts: int = SALTS) -> DataFrame:
     """Join readings with a table of few rows per ``key``.

@@ -14,6 +14,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pulsegrid.functions.joins import spread_work
 from pulsegrid.functions.quantiles import exact_quantiles
 from pulsegrid.functions.stats import finite, safe_corr
 from pulsegrid.operators.quality import null_report
@@ -136,7 +137,7 @@ def isolation_scores(df: DataFrame, key: str, cols: list[str], trees: int = 100,
 
     forest = [
         (np.array(r["f"]), np.array(r["cut"]), np.array(r["lft"]), np.array(r["rgt"]), np.array(r["size"]), r["n"])
-        for r in chosen.groupBy("tree").applyInPandas(
+        for r in spread_work(chosen, "tree").groupBy("tree").applyInPandas(
             fit, "f array<int>, cut array<double>, lft array<int>, rgt array<int>, size array<int>, n int").collect()]
     norm = float(np.mean([_path_norm(t[5]) for t in forest])) or 1.0
     shared = df.sparkSession.sparkContext.broadcast(forest)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions import kernels as K
+from pulsegrid.functions.joins import spread_work
 
 _SCALARS = (*K.SPECTRAL, "sample_entropy", "approx_entropy", "hurst_exp", "dfa", *K.CANONICAL)
 _SCHEMA = (
@@ -44,7 +45,7 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 def kernel_features(b: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """All chosen parts in one pass over the items of ``features.base``."""
-    out = b.select("ci_name", "rn", "v").groupBy("ci_name").applyInPandas(_kernel(parts), _SCHEMA)
+    out = spread_work(b.select("ci_name", "rn", "v"), "ci_name").groupBy("ci_name").applyInPandas(_kernel(parts), _SCHEMA)
     return _nan_to_null(out)
 
 
