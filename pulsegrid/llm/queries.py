@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontaminate, mixing, quality, sharding, simhash, toxicity
+from pulsegrid.llm import decontaminate, lattice, licenses, mixing, quality, sharding, simhash, toxicity
 from pulsegrid.llm.common import held_out, table
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
+    "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
