@@ -23,8 +23,12 @@ from pulsegrid.llm.common import slices, utf8
 #: Words of a passage; passages of the search start every ``PASSAGE / 2`` words.
 PASSAGE = 32
 RANK, OVERSAMPLE = 64, 16
-#: Least cosine of a candidate, least common subsequence (share of the item's words) alone and with the answer present.
-COSINE, COMMON, COMMON_WITH_ANSWER = 0.5, 0.8, 0.6
+#: Least cosine of a candidate and least share of the item's latent length that it covers.
+COSINE, COVERED = 0.5, 0.4
+#: Least common subsequence (share of the item's words) alone and with the answer present.
+COMMON, COMMON_WITH_ANSWER = 0.8, 0.6
+#: A word's weight halves where it is in this share of the documents, and falls with the square beyond.
+FREQUENT = 0.05
 #: Benchmark items handled at a time, and words of an answer that count.
 ITEMS, ANSWER_WORDS = 2_000, 4
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,29 +94,31 @@ def _coded(text: bytes, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.nd
     return at, codes[at], len(words)
 
 
-def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Number of documents, and in how many of them each benchmark word occurs."""
+def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, int, np.ndarray]:
+    """Numbers of documents and of their passages, and in how many documents each benchmark word occurs."""
     size = len(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 1, np.int64)
+        total = np.zeros(size + 2, np.int64)
         known = vocabulary.keys()
         for part in slices(batches):
             for text in part.column(0).to_pylist():
-                total[[vocabulary[w] for w in known & set(words_of(text))]] += 1
+                words = words_of(text)
+                total[[vocabulary[w] for w in known & set(words)]] += 1
+                total[size + 1] += len(words) // PASSAGE + 1
             total[size] += part.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
 
-    out = np.zeros(size + 1, np.int64)
+    out = np.zeros(size + 2, np.int64)
     for row in docs.select(utf8().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[row["word"]] = row["n"]
-    return int(out[size]), out[:size]
+    return int(out[size]), int(out[size + 1]), out[:size]
 
 
-def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """``A'A omega`` over the TF-IDF passages ``A`` of all documents, added up in the tasks and then by word."""
-    weighted = (omega * idf[:, None]).astype(np.float32)
+    weighted = (omega * weights[:, None]).astype(np.float32)
     size, width = weighted.shape
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,22 +154,29 @@ def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, omeg
     out = np.zeros((size, width))
     for row in parts.repartition("word").mapInArrow(add, "word long, v array<double>").toLocalIterator():  # one row for each benchmark word
         out[row["word"]] = row["v"]
-    return out * idf[:, None]
+    return out * weights[:, None]
 
 
-def latent_basis(docs: DataFrame, vocabulary: dict[bytes, int], rank: int = RANK, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """``(idf, V)``: right singular vectors of the passages from one sketch of their Gram matrix (Nystrom's form)."""
-    n, df = document_frequency(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1.0)) + 1e-3
+def latent_basis(docs: DataFrame, bench: Benchmark, rank: int = RANK, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """``(weights, V)``: word weights, and right singular vectors from one sketch of the passages' Gram matrix (Nystrom's form).
+
+    The benchmark's passages join those of the documents with as much weight in all, so that their words keep a direction
+    even where few documents use them.
+    """
+    vocabulary = bench.vocabulary
+    n, passages, df = document_frequency(docs, vocabulary)
+    share = df / max(1, n)
+    weights = (np.log((n + 1) / (df + 1.0)) + 1e-3) / (1 + (share / FREQUENT) ** 2)
     width = min(len(vocabulary), rank + oversample)
     omega = np.linalg.qr(np.random.default_rng(7).standard_normal((len(vocabulary), width)))[0]
-    y = _sketch(docs, vocabulary, idf, omega)
-    shift = 1e-6 * max(1.0, float(np.linalg.norm(y)))
-    y += shift * omega
+    y = _sketch(docs, vocabulary, weights, omega)
+    parts = bench.passages()[1]
+    for words in parts:
+        np.add.at(y, words, max(1, passages) / len(parts) * weights[words][:, None] * (omega * weights[:, None])[words].sum(axis=0))
     core = omega.T @ y
     factor = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width))
     u, _, _ = np.linalg.svd(np.linalg.solve(factor, y.T).T, full_matrices=False)
-    return idf, u[:, :rank]
+    return weights, u[:, :rank]
 
 
 def common_words(item: list[bytes], region: list[bytes], masks: dict[bytes, int]) -> int:
@@ -181,12 +194,13 @@ def common_words(item: list[bytes], region: list[bytes], masks: dict[bytes, int]
 class Finder:
     """Finds the items of one block in whole texts."""
 
-    def __init__(self, bench: Benchmark, idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, bench: Benchmark, weights: np.ndarray, basis: np.ndarray):
         self.bench = bench
-        self.table = (basis * idf[:, None]).astype(np.float32)
+        self.table = (basis * weights[:, None]).astype(np.float32)
         self.owner, parts = bench.passages()
         queries = np.stack([self.table[p].sum(axis=0) for p in parts])
-        self.queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).T.copy()
+        self.lengths = np.maximum(np.linalg.norm(queries, axis=1), 1e-12)
+        self.queries = (queries / self.lengths[:, None]).T.copy()
         self.masks = []
         for words in bench.words:
             masks: dict[bytes, int] = {}
@@ -206,8 +220,8 @@ class Finder:
         sums[cells[new]] = np.add.reduceat(self.table[codes], new, axis=0)
         passages = sums[:-1] + sums[1:]
         norms = np.sqrt((passages ** 2).sum(axis=1))
-        near = passages @ self.queries >= COSINE * np.maximum(norms, 1e-6)[:, None]
-        row, query = np.nonzero(near)
+        along = passages @ self.queries
+        row, query = np.nonzero((along >= COSINE * np.maximum(norms, 1e-6)[:, None]) & (along >= COVERED * self.lengths))
         return sorted(set(zip(self.owner[query].tolist(), (row * half).tolist())))
 
     def matches(self, text: bytes) -> list[tuple[int, float, bool]]:
@@ -232,7 +246,7 @@ class Finder:
 def finders(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Finder]:
     """A finder for each block of the benchmark; each block has its own words and so its own latent space."""
     for bench in blocks(benchmark):
-        yield Finder(bench, *latent_basis(docs, bench.vocabulary, rank))
+        yield Finder(bench, *latent_basis(docs, bench, rank))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:

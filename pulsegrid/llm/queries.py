@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontaminate, lattice, licenses, mixing, quality, sharding, simhash, toxicity
+from pulsegrid.llm import decontaminate, lattice, licenses, lmscore, mixing, quality, sharding, simhash, toxicity
 from pulsegrid.llm.common import held_out, table
 
 
@@ -16,6 +16,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op3_licenses": op3_licenses,
+    "op4_lm_score": op4_lm_score,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
