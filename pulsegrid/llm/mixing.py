@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of a draw, and the bits that one narrowing step looks at.
-DRAW_BITS, STEP_BITS = 60, 15
+#: Bits of a draw, the bits that one narrowing step looks at, and the steps before the last rows are ranked.
+DRAW_BITS, STEP_BITS, STEPS = 60, 15, 2
+#: Up to so many sources (a few numbers each) a table with a row for each source is broadcast.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -55,10 +57,15 @@ def source_targets(narrow: DataFrame, weights: int = 3, epochs: int = 3) -> Data
     return known.select("source", "source_size", F.when(cap < share, cap).otherwise(share).alias("target"))
 
 
-def _with_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """A join on the source in which null meets null."""
+def _with_source(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
+    """A left join on the source in which null meets null.
+
+    With ``few`` sources the right side is sent to all tasks, so a source with most of the rows does not meet in one;
+    else Spark shuffles both and splits what is skewed.
+    """
     right = right.withColumnRenamed("source", "__source")
-    return left.join(right, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
+    right = F.broadcast(right) if few else right
+    return left.join(right, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
 def mixing_plan(narrow: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
@@ -70,20 +77,21 @@ def mixing_plan(narrow: DataFrame, weights: int = 3, epochs: int = 3) -> DataFra
     """
     targets = source_targets(narrow, weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    few = targets.count() <= FEW_SOURCES
     plan = cut_lineage(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     state = plan.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     left = DRAW_BITS
-    for _ in range(2):
-        inside = _with_source(narrow, state).where(F.shiftright("draw", left) == F.col("prefix"))
+    for _ in range(STEPS):
+        inside = _with_source(narrow, state, few).where(F.shiftright("draw", left) == F.col("prefix"))
         step = F.shiftright("draw", left - STEP_BITS)
         sums = inside.groupBy("source", "rest", "below", step.alias("prefix")).agg(F.sum("size").alias("n"))
         state = _crossed(sums, "prefix").select("source", "rest", "prefix", F.col("start").alias("below"))
         left -= STEP_BITS
-    inside = _with_source(narrow, state).where(F.shiftright("draw", left) == F.col("prefix"))
+    inside = _with_source(narrow, state, few).where(F.shiftright("draw", left) == F.col("prefix"))
     sums = inside.groupBy("source", "rest", "below", "draw").agg(F.sum("size").alias("n"))
     last = _crossed(sums, "draw").select(
         "source", F.when(2 * F.col("start") + F.col("n") <= 2 * F.col("rest"), F.col("draw")).otherwise(F.col("draw") - 1).alias("cut"))
-    return _with_source(plan, last, "left").select(
+    return _with_source(plan, last, False).select(
         "source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
 
 
@@ -107,19 +115,20 @@ def mixture(docs: DataFrame, weights: int = 3, epochs: int = 3, seed: int = 11)
     Ties do not occur but between such rows. An empty table gives no rows.
     """
     narrow = narrow_documents(docs, seed)
-    plan = mixing_plan(narrow, weights, epochs)
+    plan = cut_lineage(mixing_plan(narrow, weights, epochs))
     copies = (F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)).alias("copies")
-    return _with_source(narrow, plan).select(
+    return _with_source(narrow, plan, plan.count() <= FEW_SOURCES).select(
         "doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: int = 3, epochs: int = 3, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
-    plan = mixing_plan(narrow_documents(docs, seed), weights, epochs)
+    plan = cut_lineage(mixing_plan(narrow_documents(docs, seed), weights, epochs))
+    few = plan.count() <= FEW_SOURCES
     plan = plan.select(F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("cut").alias("__mix_cut"))
     more = F.when(draw(seed) <= F.col("__mix_cut"), 1).otherwise(0)
     times = F.array_repeat(F.lit(0), (F.col("__mix_whole") + more).cast("int"))
-    taken = docs.join(plan, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copy", F.explode(times))
+    taken = docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copy", F.explode(times))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
