@@ -15,9 +15,11 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pulsegrid.llm.common import slices, utf8
 from pulsegrid.llm.components import connected
@@ -60,6 +62,20 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def fingerprint_of(text: str = "text", words: int = 3) -> Column:
+    """The fingerprint of a column, as 16 hexadecimal digits."""
+
+    @pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, words)).astype("int64")
+
+    return _digits(run(utf8(text)))
+
+
+def _digits(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Masks of every choice of ``blocks - radius`` bit blocks; two fingerprints within the radius agree on one of them."""
     cuts = [BITS * k // blocks for k in range(blocks + 1)]
@@ -201,17 +217,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int = 6, til
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: int = 6, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
+    """``(doc_id, fingerprint, component_id, group)`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
     ``component_id`` is the smallest ``doc_id`` reachable by links of at most ``radius`` differing bits. Null and empty
     texts have fingerprint zero, which links like any other. Rows that repeat an id stay; a row with a null id belongs
-    to its group but never names it. An empty table gives no rows.
+    to its group but never names it; ``group``, a fingerprint of the group, names it in any case. An empty table gives no rows.
     """
     known = cut_lineage(fingerprints(docs, words))
     distinct = known.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = connected(fingerprint_links(distinct.select("fp"), radius, blocks, tile_rows), "a", "b")
     member = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
+    named = member.join(lowest, "root").select("fp", "component_id", "root")
     return known.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", _digits(F.col("fp")).alias("fingerprint"), "component_id", _digits(F.col("root")).alias("group"))

@@ -50,7 +50,10 @@ def test_groups_match_brute_force(spark, tile_rows):
     rows = [(i, base[i % 12] if i < 40 else " ".join(w if rng.random() > .004 else "Zz" for w in base[i % 4].split())) for i in range(160)]
     rows += [(500, None), (501, ""), (502, " \t\n"), (7, base[0]), (7, base[0]), (None, base[1]), (None, "only"), (503, "ÄÖ ü X y")]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(-1))
-    got = [tuple(r) for r in simhash.near_duplicates(docs, tile_rows=tile_rows).collect()]
+    found = simhash.near_duplicates(docs, tile_rows=tile_rows).collect()
+    got = [tuple(r)[:3] for r in found]
+    assert len({(r['component_id'], r['group']) for r in found}) == len({r['group'] for r in found})
+    assert {r['fp'] for r in docs.select(simhash.fingerprint_of().alias('fp')).collect()} == {r['fingerprint'] for r in found}
     assert sorted(got, key=str) == plain_groups(rows)
 
 
