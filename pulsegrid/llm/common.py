@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SLICE_ROWS = 512
 
 
+#: Rows that Spark hands to Python at a time, unless the session says otherwise; texts may be very long.
+BATCH_ROWS, _BATCH_SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontaminate, lattice, licenses, lmscore, mixing, quality, sharding, simhash, toxicity
+from pulsegrid.llm import decontaminate, lattice, licenses, lines, lmscore, mixing, quality, sharding, simhash, toxicity
 from pulsegrid.llm.common import held_out, table
 
 
@@ -12,6 +12,11 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dropped_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_dropped", F.size("dropped")).select("doc_id", "n_lines", "n_dropped", "dropped")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -50,6 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lattice": op1_lattice,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_licenses": op3_licenses,
     "op4_lm_score": op4_lm_score,
     "op5_mixing": op5_mixing,
