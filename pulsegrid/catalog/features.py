@@ -269,11 +269,12 @@ rad AS (SELECT ci_name, CAST(k AS INT) AS step, 0.1 * sd * pow(1.03, k) AS radiu
 cnt AS (SELECT rad.ci_name, step, radius, (SELECT count(*) FROM pd WHERE pd.ci_name = rad.ci_name AND pd.d <= rad.radius) AS pairs FROM rad)"""
 
 _WELCH_CTES = [
-    """seg AS (SELECT b.ci_name, s.k, b.rn - s.k * 128 AS t, v - avg(v) OVER (PARTITION BY b.ci_name, s.k) AS u, 0.5 - 0.5 * cos(2 * pi() * (b.rn - s.k * 128) / 256) AS w
-  FROM b JOIN (SELECT unnest(generate_series(0, 100000)) AS k) s ON s.k < (b.n - 128) // 128 AND b.rn >= s.k * 128 AND b.rn < s.k * 128 + 256)""",
-    """dft AS (SELECT ci_name, k, f, sum(u * w * cos(2 * pi() * f * t / 256)) AS re, sum(u * w * sin(2 * pi() * f * t / 256)) AS im, sum(w * w) AS ww
-  FROM seg, (SELECT unnest(generate_series(0, 128)) AS f) GROUP BY 1, 2, 3)""",
-    """psd AS (SELECT ci_name, f, f / 256 AS fr, avg((re * re + im * im) / ww * CASE WHEN f IN (0, 128) THEN 1 ELSE 2 END) AS p FROM dft GROUP BY 1, 2)""",
+    """hop AS (SELECT *, least(256, n) AS m, least(256, n) - least(256, n) // 2 AS h FROM b)""",
+    """seg AS (SELECT b.ci_name, s.k, m, b.rn - s.k * h AS t, v - avg(v) OVER (PARTITION BY b.ci_name, s.k) AS u, 0.5 - 0.5 * cos(2 * pi() * (b.rn - s.k * h) / m) AS w
+  FROM hop b JOIN (SELECT unnest(generate_series(0, 100000)) AS k) s ON s.k < (b.n - m // 2) // h AND b.rn >= s.k * h AND b.rn < s.k * h + m)""",
+    """dft AS (SELECT ci_name, k, m, f, sum(u * w * cos(2 * pi() * f * t / m)) AS re, sum(u * w * sin(2 * pi() * f * t / m)) AS im, sum(w * w) AS ww
+  FROM seg JOIN (SELECT unnest(generate_series(0, 128)) AS f) ON f <= m // 2 GROUP BY 1, 2, 3, 4)""",
+    """psd AS (SELECT ci_name, f, f / m AS fr, avg((re * re + im * im) / ww * CASE WHEN f = 0 OR 2 * f = m THEN 1 ELSE 2 END) AS p FROM dft GROUP BY 1, 2, 3)""",
     """nrm AS (SELECT *, p / sum(p) OVER (PARTITION BY ci_name) AS q FROM psd)""",
     """cen AS (SELECT *, sum(fr * q) OVER (PARTITION BY ci_name) AS c FROM nrm)""",
     """bw AS (SELECT *, sqrt(sum((fr - c) * (fr - c) * q) OVER (PARTITION BY ci_name)) AS w FROM cen)""",

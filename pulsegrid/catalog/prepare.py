@@ -143,6 +143,12 @@ _IM = "im AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, var_samp(m) AS importance FROM (SELECT p_type, avg({c}) AS m FROM pf GROUP BY 1)" for c in FEATURES) + ")"
 
 
+def _BAND(c: str) -> str:
+    """The mean where 5 to 15 % of a column are missing, else the median."""
+    share = f"100.0 * count(*) FILTER ({c} IS NULL) / count(*)"
+    return f"(SELECT CASE WHEN {share} >= 5 AND {share} < 15 THEN avg({c}) ELSE quantile_cont({c}, 0.5) END FROM g)"
+
+
 def _static_sql() -> str:
     # item means per brand; the four most varying columns at every scale of the test tables
     cols = ["avg_price", "n_lines", "p_retailprice", "p_size"]
@@ -165,8 +171,8 @@ def _groups_sql() -> str:
 ORACLES = {
     "impute_median_mode": sql("poller", f"""SELECT ci_name, event_date_time, coalesce(site_country, (SELECT site_country FROM g WHERE site_country IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS site_country,
   {', '.join(f'round(coalesce({c}, {_MED(c)}), 6) AS {c}' for c in ('few', 'mid', 'many'))} FROM g""", [_GAPPY]),
-    "missing_strategy": sql("poller", f"""SELECT ci_name, event_date_time, coalesce(site_country, 'Unknown') AS site_country, round(coalesce(few, {_MED('few')}), 6) AS few,
-  round(coalesce(mid, (SELECT avg(mid) FROM g)), 6) AS mid, round(coalesce(many, {_MED('many')}), 6) AS many, CAST(many IS NULL AS INT) AS many_missing FROM g""", [_GAPPY]),
+    "missing_strategy": sql("poller", f"""SELECT ci_name, event_date_time, coalesce(site_country, 'Unknown') AS site_country,
+  {', '.join(f'round(coalesce({c}, {_BAND(c)}), 6) AS {c}' for c in ('few', 'mid', 'many'))}, CAST(many IS NULL AS INT) AS many_missing FROM g""", [_GAPPY]),
     "impute_train_median": sql("poller", f"""SELECT is_test, {', '.join(f"round(sum(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM m WHERE is_test = 0))), 4) AS sum_{c}" for c in ('few', 'mid', 'many'))},
   count(*) AS n FROM m GROUP BY 1""", [_GAPPY, "m AS (SELECT *, CAST(event_date_time >= (SELECT max(event_date_time) FROM g) - INTERVAL 21 DAY AS INT) AS is_test FROM g)"]),
     "variance_keep": sql("", " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(var_pop({c}) > 0.01 AS INT) AS kept FROM pf" for c in PART_COLS), [_PART]),

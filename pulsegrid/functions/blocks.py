@@ -20,7 +20,8 @@ from pulsegrid.functions.joins import lookup_join
 from pulsegrid.session import cut_lineage
 
 BLOCK_ROWS = 1_000
-MAX_TASKS = 20_000
+#: Tasks for each core of the session at most, where there are more meetings than that.
+TASKS_PER_CORE = 100
 Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
 
 
@@ -47,7 +48,7 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
         plan = subs.join(up, "_slab", "left").join(down, "_slab", "left").fillna(0, ["_up", "_down"])
         n = F.col("_own").cast("long")
         meetings_n = plan.agg(F.sum(n * (n + 1) / 2 + n * F.col("_up"))).first()[0] or 1
-        placed = lookup_join(rows, plan, "_slab", "inner", salt_on=[key])
+        placed = lookup_join(rows, plan, "_slab", "inner")
     placed = placed.withColumn("_b", F.pmod(F.xxhash64(key), F.col("_own")).cast("int"))
 
     def meetings(count: str, fn) -> Column:
@@ -83,7 +84,7 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
         return out
 
     # the work grows with the square of the bytes, so tasks are counted by meetings, not by size
-    tasks = int(min(max(2 * meetings_n, 1), MAX_TASKS))
+    tasks = int(min(max(2 * meetings_n, 1), TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
     return spread.repartition(tasks, "sa", "ba", "sb", "bb").groupBy("sa", "ba", "sb", "bb").applyInPandas(run, schema)
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-SALTS = 16
+from pyspark.sql import DataFrame
 
 
 def spread_work(df: DataFrame, *keys: str) -> DataFrame:
@@ -17,14 +15,10 @@ def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                salt_on: list[str] | None = None, salts: int = SALTS) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join readings with a table of few rows per ``key``.
 
-    Adaptive execution broadcasts the lookup when its measured size allows. When
-    it does not, a key holding a large share of the readings would fill one
-    task; so the readings carry a salt and the lookup is repeated per salt.
+    Only the key is added to the columns the caller uses. Adaptive execution broadcasts the lookup where its
+    measured size allows, and else splits the partitions of a key that holds a large share of the readings.
     """
-    salt = F.pmod(F.xxhash64(*(salt_on or rows.columns)), F.lit(salts)).cast("int")
-    spread = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return rows.withColumn("_salt", salt).join(spread, [key, "_salt"], how).drop("_salt")
+    return rows.join(lookup, key, how)

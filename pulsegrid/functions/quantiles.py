@@ -4,7 +4,7 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one
 buffer. That is fine for an item's series, which the calendar bounds, but not
 for a whole table. Here each wanted order statistic is bracketed by approximate
 quantiles and the bracket is narrowed, one scan for all columns per step, until
-the values inside fit a small list.
+one value is left or the open brackets of all columns together hold few values.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-IN_MEMORY_VALUES = 200_000
+#: Values of all columns together that one row may hold.
+IN_MEMORY_VALUES = 2_000
 _ACCURACY = 2_000
 
 
@@ -27,9 +28,17 @@ def _interpolate(stats: dict[int, float], p: float, n: int) -> float | None:
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     in_memory: int = IN_MEMORY_VALUES) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of each column, nulls ignored."""
+    """Linear-interpolation quantiles of each column, nulls ignored; the wanted columns are kept between the scans."""
     if not cols:
         return {}
+    kept = df.select(*[f"`{c}`" for c in cols]).persist()
+    try:
+        return _narrowed(kept, cols, probs, in_memory)
+    finally:
+        kept.unpersist()
+
+
+def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int) -> dict[str, list[float | None]]:
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     head = df.agg(*[f(x[c]).alias(f"{k}{i}") for i, c in enumerate(cols)
                     for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
@@ -47,9 +56,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             if lo == hi:
                 found[c][r] = lo
                 del open_[(c, r)]
-        small = {k: b for k, b in open_.items() if b[3] <= in_memory}
+        small, held, spans = {}, 0, set()
+        for key, b in sorted(open_.items(), key=lambda kb: kb[1][3]):
+            span = (key[0], b[0], b[1])
+            held += 0 if span in spans else b[3]
+            if held > in_memory:
+                break
+            spans.add(span)
+            small[key] = b
         if small:
-            spans = {(c, b[0], b[1]) for (c, _), b in small.items()}
             index = {s: i for i, s in enumerate(sorted(spans))}
             lists = df.agg(*[
                 F.array_sort(F.collect_list(F.when(x[c].between(lo, hi), x[c]))).alias(f"l{i}")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, WindowSpec, functions as F
 
 
 def _on(col: Column, w: WindowSpec | None) -> Column:
     return col if w is None else col.over(w)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def positive_ratio(a: Column, b: Column) -> Column:
     """``a / b``, null unless ``b`` is above zero."""
     return F.when(b > 0, a / b)
@@ -45,8 +41,3 @@ def finite(x: Column) -> Column:
     """Infinite and NaN values become null."""
     bad = F.isnan(x) | (F.abs(x) == float("inf"))
     return F.when(~bad, x)
-
-
-def by_ci(*order: str) -> WindowSpec:
-    w = Window.partitionBy("ci_name")
-    return w.orderBy(*order) if order else w

@@ -15,25 +15,101 @@ from pulsegrid.operators import elastic as X, evaluate as E
 from pulsegrid.operators.graph import components
 from pulsegrid.session import cut_lineage
 
-START_ROWS = 4_096
 SEED = 42
+#: Rounds of drawing candidates for starting centres, and candidates a round for each centre (on average).
+START_ROUNDS, START_FACTOR = 3, 2.0
 
 
-def start_rows(df: DataFrame, rows: int = START_ROWS, seed: int = SEED) -> np.ndarray:
-    """A bounded, repeatable sample of vectors used only to place starting centres."""
-    picked = df.orderBy(F.xxhash64(F.col("item").cast("string"), F.lit(seed)), F.col("item").cast("string")).limit(rows)
-    return np.array([r["vec"] for r in picked.select("vec").collect()], float)
+def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of all vectors, from one partial sum for each task."""
+    def partial(batches):
+        n, s, sq = 0, 0.0, 0.0
+        for pdf in batches:
+            if len(pdf):
+                x = B.stack(pdf["vec"])
+                n, s, sq = n + len(x), s + x.sum(axis=0), sq + x.T @ x
+        if n:
+            yield pd.DataFrame([{"flat": np.concatenate([[n], s, sq.ravel()]).tolist()}])
+
+    total = df.select("vec").mapInPandas(partial, "flat array<double>").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("flat"))))).first()[0]
+    flat = np.array(total)
+    dim = int(round((np.sqrt(4 * len(flat) - 3) - 1) / 2))
+    n, mean = int(flat[0]), flat[1:1 + dim] / flat[0]
+    return n, mean, flat[1 + dim:].reshape(dim, dim) / n - np.outer(mean, mean)
+
+
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Repeatable numbers in [0, 1) from row hashes."""
+    z = h.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift in (30, 27, 31):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def _weighted_start(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted candidates, drawn with probability growing with squared distance."""
+    picks = [int(rng.choice(len(x), p=w / w.sum()))]
+    d = ((x - x[picks[0]]) ** 2).sum(1)
+    while len(picks) < k:
+        p = d * w
+        picks.append(int(rng.choice(len(x), p=p / p.sum()) if p.sum() > 0 else rng.integers(len(x))))
+        d = np.minimum(d, ((x - x[picks[-1]]) ** 2).sum(1))
+    return x[picks]
+
+
+def starting_centres(df: DataFrame, runs: list[tuple[int, int]], seed: int = SEED) -> dict[tuple[int, int], np.ndarray]:
+    """Starting centres of each ``(k, restart)`` by k-means|| over all rows.
+
+    Each round draws rows with probability growing with their squared distance from the candidates so far, about
+    ``2 k`` of them for each run; the candidates, weighted by the rows nearest to them, are then reduced to ``k``.
+    """
+    keyed = df.select(F.xxhash64(F.col("item").cast("string"), F.lit(seed)).alias("h"), "vec")
+    restarts = sorted({r for _, r in runs})
+    first = keyed.agg(*[F.min_by("vec", F.xxhash64("h", F.lit(r))).alias(f"v{r}") for r in restarts]).first()
+    found = {run: np.array([first[f"v{run[1]}"]], float) for run in runs}
 
+    def distances(pdf, centres):
+        return _nearest(B.stack(pdf["vec"]), centres)
 
-def _spread_start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centres drawn with probability growing with squared distance."""
-    centres = [x[rng.integers(len(x))]]
-    d = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k:
-        at = rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))
-        centres.append(x[at])
-        d = np.minimum(d, ((x - x[at]) ** 2).sum(1))
-    return np.array(centres)
+    def spent(batches, found=None):
+        total = np.zeros(len(runs))
+        for pdf in batches:
+            if len(pdf):
+                total += [float((distances(pdf, found[run])[1] ** 2).sum()) for run in runs]
+        yield pd.DataFrame({"run": range(len(runs)), "v": total})
+
+    for step in range(START_ROUNDS):
+        now = dict(found)
+        cost = dict(keyed.mapInPandas(lambda b, now=now: spent(b, now), "run int, v double").groupBy("run").agg(F.sum("v")).collect())
+
+        def drawn(batches, now=now, cost=cost, step=step):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                h = pdf["h"].to_numpy(np.int64)
+                for i, run in enumerate(runs):
+                    chance = START_FACTOR * run[0] * distances(pdf, now[run])[1] ** 2 / max(cost[i], 1e-300)
+                    hit = np.flatnonzero(_uniform(h, 1 + i * START_ROUNDS + step) < chance)
+                    if hit.size:
+                        yield pd.DataFrame({"run": i, "h": h[hit], "vec": pdf["vec"].to_numpy()[hit]})
+
+        for r in sorted(keyed.mapInPandas(drawn, "run int, h long, vec array<double>").collect(), key=lambda r: (r["run"], r["h"])):
+            found[runs[r["run"]]] = np.vstack([found[runs[r["run"]]], r["vec"]])
+
+    def owned(batches):
+        total = [np.zeros(len(found[run])) for run in runs]
+        for pdf in batches:
+            if len(pdf):
+                for i, run in enumerate(runs):
+                    total[i] += np.bincount(distances(pdf, found[run])[0], minlength=len(total[i]))
+        for i, t in enumerate(total):
+            yield pd.DataFrame({"run": i, "c": range(len(t)), "n": t})
+
+    weights = {run: np.zeros(len(found[run])) for run in runs}
+    for run, c, n in keyed.mapInPandas(owned, "run int, c int, n double").groupBy("run", "c").agg(F.sum("n")).collect():
+        weights[runs[run]][c] = n
+    return {run: _weighted_start(found[run], weights[run], run[0], np.random.default_rng([seed, *run])) for run in runs}
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,22 +119,26 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kmeans_restarts(df: DataFrame, ks: tuple[int, ...], restarts: int = 20, seed: int = SEED,
-                    max_iter: int = 100, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
-    """Best centres and cost per ``k`` over many starts.
+                    tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Best centres and cost per ``k`` over many starts, each moved until it settles.
 
-    All starts of all ``k`` still moving advance in the same scan: each task sends
+    All starts of all ``k`` still moving advance in the same scan of a kept slim table: each task sends
     one partial sum per centre, so a scan's traffic does not depend on the rows.
     """
-    x0 = start_rows(df, seed=seed)
-    rng = np.random.default_rng(seed)
-    runs = {(k, r): _spread_start(x0, k, rng) for k in ks for r in range(restarts)}
-    scale = float(x0.var(axis=0).mean()) or 1.0
+    kept = df.select("item", F.col("vec").cast("array<double>").alias("vec")).persist()
+    try:
+        return _moved(kept, ks, restarts, seed, tol)
+    finally:
+        kept.unpersist()
+
+
+def _moved(df: DataFrame, ks: tuple[int, ...], restarts: int, seed: int, tol: float) -> dict[int, tuple[np.ndarray, float]]:
+    runs = starting_centres(df, [(k, r) for k in ks for r in range(restarts)], seed)
+    scale = float(np.diag(moments(df)[2]).mean()) or 1.0
     moving, cost = set(runs), {}
     slim = df.select("vec")
     spark = df.sparkSession
-    for step in range(max_iter + 1):
-        if not moving:
-            break
+    while moving:
         live = sorted(moving)
         shared = spark.sparkContext.broadcast([runs[key] for key in live])
 
@@ -94,7 +174,7 @@ def kmeans_restarts(df: DataFrame, ks: tuple[int, ...], restarts: int = 20, seed
             spent[r["run"]] += r["sq"]
         for i, key in enumerate(live):
             cost[key] = float(spent[i])
-            if ((new[i] - runs[key]) ** 2).sum() <= tol * scale or step == max_iter:
+            if ((new[i] - runs[key]) ** 2).sum() <= tol * scale:
                 moving.discard(key)
             else:
                 runs[key] = new[i]
@@ -127,17 +207,17 @@ def gmm_full(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return model.transform(wide).select("item", F.col("prediction").alias("label"))
 
 
-def gmm_shared(df: DataFrame, k: int, kind: str, seed: int = SEED, max_iter: int = 50, tol: float = 1e-3,
+def gmm_shared(df: DataFrame, k: int, kind: str, seed: int = SEED, tol: float = 1e-3,
                ridge: float = 1e-6) -> DataFrame:
     """Gaussian mixture with one shared (``tied``) or per-cluster diagonal (``diag``) covariance.
 
-    One scan per step returns weighted sums only; they are as large as the model.
+    One scan per step returns weighted sums only; they are as large as the model. Steps go on until the likelihood settles.
     """
     centres = kmeans_restarts(df, (k,), 1, seed)[k][0]
     dim = centres.shape[1]
     weight = np.full(k, 1 / k)
-    x0 = start_rows(df, seed=seed)
-    cov = np.cov(x0.T, bias=True).reshape(dim, dim) + ridge * np.eye(dim) if kind == "tied" else np.tile(x0.var(axis=0) + ridge, (k, 1))
+    whole = moments(df)[2]
+    cov = whole + ridge * np.eye(dim) if kind == "tied" else np.tile(np.diag(whole) + ridge, (k, 1))
     item_type = dict(df.dtypes)["item"]
 
     def log_density(x, weight, mean, cov):
@@ -159,7 +239,7 @@ def gmm_shared(df: DataFrame, k: int, kind: str, seed: int = SEED, max_iter: int
 
     previous = -np.inf
     slim = df.select("vec")
-    for _ in range(max_iter):
+    while True:
         state = (weight, centres, cov)
 
         def partial(batches, state=state):
@@ -211,38 +291,13 @@ def bisecting(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return model.transform(wide).select("item", F.col("prediction").alias("label"))
 
 
-def kmedoids_vectors(df: DataFrame, ks: tuple[int, ...], samples: int = 3, size: int = X.COMPARE_SAMPLE,
-                     seed: int = SEED) -> DataFrame:
-    """Euclidean k-medoids: medoids from several samples, every item assigned, cheapest kept per k."""
-    keyed = df.select(F.col("item").cast("string").alias("item"), "vec")
-
-    def kernel(left, right, same):
-        d = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"]))
-        i, j = np.triu_indices(len(left), 1) if same else (g.ravel() for g in np.indices(d.shape))
-        a, b = left["item"].to_numpy()[i], right["item"].to_numpy()[j]
-        return pd.DataFrame({"distance": "euclidean", "i": np.minimum(a, b), "j": np.maximum(a, b), "dist": d[i, j]})
-
-    best: dict[int, tuple[float, np.ndarray]] = {}
-    for s in range(samples):
-        part = keyed.orderBy(F.xxhash64(F.col("item"), F.lit(seed + s)), "item").limit(size)
-        pairs = B.meet(part, "item", kernel, "distance string, i string, j string, dist double", target=300)
-        chosen = X.kmedoids(pairs, ks, seed).filter("is_medoid = 1").select("k", "label", "item")
-        rows = chosen.join(part, "item").select("k", "label", "vec").collect()
-        centres = {k: np.array([r["vec"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["label"])]) for k in ks}
-        centres = {k: c for k, c in centres.items() if len(c)}
-
-        def cost(batches, centres=centres):
-            for pdf in batches:
-                if len(pdf):
-                    x = B.stack(pdf["vec"])
-                    yield pd.DataFrame({"k": list(centres), "c": [float(_nearest(x, c)[1].sum()) for c in centres.values()]})
-
-        for r in keyed.select("vec").mapInPandas(cost, "k int, c double").groupBy("k").agg(F.sum("c").alias("c")).collect():
-            if r["k"] not in best or r["c"] < best[r["k"]][0]:
-                best[r["k"]] = (r["c"], centres[r["k"]])
-        if df.sparkSession is not None and keyed.limit(size + 1).count() <= size:
-            break  # the sample is the whole set
-    return assign_centres(df, {k: c for k, (_, c) in best.items()})
+def kmedoids_vectors(df: DataFrame, ks: tuple[int, ...], seed: int = SEED) -> DataFrame:
+    """Euclidean k-medoids over all items: ``(k, item, label)``."""
+    item_type = dict(df.dtypes)["item"]
+    series = df.select(F.col("item").cast("string").alias("ci_name"), F.col("vec").alias("series"))
+    found = X.fleet_medoids(series, tuple(("euclidean", k) for k in ks), seed)
+    models = {k: np.array([v for _, v in medoids]) for (_, k), medoids in found.items()}
+    return assign_centres(df.withColumn("item", F.col("item").cast(item_type)), models)
 
 
 # ---------------------------------------------------------------- density
@@ -286,7 +341,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_RO
     Border items join the cluster of their nearest core item.
     """
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
-    counted = lookup_join(slim, neighbour_counts(df, eps, target), "item", "inner", salt_on=["item"])
+    counted = lookup_join(slim, neighbour_counts(df, eps, target), "item", "inner")
     marked = cut_lineage(counted.withColumn("is_core", (F.col("neighbours") >= min_samples).cast("int")))
     core = marked.filter("is_core = 1").select("item", "vec")
     groups = components(threshold_forest(core, eps, coord=_first_coordinate(), target=target))
@@ -369,7 +424,7 @@ def coassociation(partitions: DataFrame, share: float = 0.5) -> DataFrame:
     sums = B.meet(sig, "item", kernel, "item string, total double, close double").groupBy(F.col("item").alias("signature")).agg(
         F.sum("total").alias("total"), F.sum("close").alias("close"))
     n = items.agg(F.count("*")).scalar()
-    return lookup_join(items.select("item", "signature"), sums, "signature", "inner", salt_on=["item"]).withColumn("n", n).select(
+    return lookup_join(items.select("item", "signature"), sums, "signature", "inner").withColumn("n", n).select(
         "item", F.try_divide(F.col("total") - 1, F.col("n") - 1).alias("mean_share"),
         (F.col("close") - 1).cast("long").alias("close_items"))
 
@@ -382,8 +437,7 @@ def consensus(partitions: DataFrame, share: float = 0.5, least: int = 5) -> Data
     items = signatures(partitions)
     sig = items.groupBy(F.col("signature").alias("item")).agg(F.first("vec").alias("vec"))
     groups = components(threshold_forest(sig, 1 - share, "disagreement"))
-    named = lookup_join(items.select("item", "signature"), groups.withColumnRenamed("node", "signature"), "signature", "left",
-                        salt_on=["item"])
+    named = lookup_join(items.select("item", "signature"), groups.withColumnRenamed("node", "signature"), "signature", "left")
     return named.select("item", F.coalesce("component", "signature").alias("label"))
 
 
@@ -393,4 +447,4 @@ def number_labels(labels: DataFrame) -> DataFrame:
 
     sizes = labels.filter("label <> '-1'").groupBy("label").agg(F.count("*").alias("c"))
     codes = sizes.select("label", (F.row_number().over(Window.orderBy(F.desc("c"), "label")) - 1).alias("code"))
-    return lookup_join(labels, codes, "label", "left", salt_on=["item"]).select("item", F.coalesce("code", F.lit(-1)).alias("label"))
+    return lookup_join(labels, codes, "label", "left").select("item", F.coalesce("code", F.lit(-1)).alias("label"))

@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions import blocks as B
 from pulsegrid.functions.joins import lookup_join
 
-EXACT_SILHOUETTE_ROWS = 200_000
-
 
 def euclid(a: Column, b: Column) -> Column:
     sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
@@ -35,7 +33,7 @@ def centroids(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def _with_centres(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     keyed = df.withColumn("_key", F.struct(*by, "label"))
     cents = centroids(df, by).withColumn("_key", F.struct(*by, "label"))
-    far = lookup_join(keyed, cents.select("_key", "centre"), "_key", "inner", salt_on=["item"])
+    far = lookup_join(keyed, cents.select("_key", "centre"), "_key", "inner")
     spread = far.withColumn("d", euclid(F.col("vec"), F.col("centre"))).groupBy(*by, "label").agg(
         F.avg("d").alias("scatter"), F.sum(F.col("d") * F.col("d")).alias("within"))
     return cents.drop("_key"), spread
@@ -114,20 +112,25 @@ def _silhouette(sums: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     return per_item.select(*by, "item", "label", s.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, exact_rows: int = EXACT_SILHOUETTE_ROWS) -> DataFrame:
-    """Mean silhouette; -1 for a single cluster. Above ``exact_rows`` items the linear-time
-    squared-distance form is used and the column says so."""
-    labels = df.agg(F.count_distinct("label").alias("k"), F.count("*").alias("n")).first()
-    spark = df.sparkSession
-    if labels["k"] <= 1:
-        return spark.createDataFrame([(-1.0,)], "silhouette double")
-    if labels["n"] <= exact_rows:
-        return silhouette_items(df).agg(F.avg("silhouette").alias("silhouette"))
+def silhouette(df: DataFrame) -> DataFrame:
+    """Mean exact silhouette at any size; -1 for a single cluster. The distances grow with the square of the items."""
+    if df.select("label").distinct().limit(2).count() <= 1:
+        return df.sparkSession.createDataFrame([(-1.0,)], "silhouette double")
+    return silhouette_items(df).agg(F.avg("silhouette").alias("silhouette"))
+
+
+def silhouette_squared(df: DataFrame) -> DataFrame:
+    """Mean silhouette under squared Euclidean distance, in time linear in the items; -1 for a single cluster.
+
+    It is another score than :func:`silhouette`; the caller chooses, never the size.
+    """
+    if df.select("label").distinct().limit(2).count() <= 1:
+        return df.sparkSession.createDataFrame([(-1.0,)], "silhouette_squared_euclidean double")
     codes = df.groupBy("label").agg(F.count("*")).select(
         "label", F.row_number().over(Window.orderBy("label")).cast("double").alias("code"))
-    ready = lookup_join(df, codes, "label", "inner", salt_on=["item"]).select(array_to_vector("vec").alias("features"), "code")
+    ready = lookup_join(df, codes, "label", "inner").select(array_to_vector("vec").alias("features"), "code")
     score = ClusteringEvaluator(featuresCol="features", predictionCol="code").evaluate(ready)
-    return spark.createDataFrame([(score,)], "silhouette_squared_euclidean double")
+    return df.sparkSession.createDataFrame([(score,)], "silhouette_squared_euclidean double")
 
 
 def silhouette_pairs(pairs: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -8,15 +8,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.operators import split as S
 
 TARGET = "event_value"
-BIG_ROWS = 1_000_000
-TUNE_ROWS = 200_000
 LINEAR = ("linear", "ridge", "lasso", "elastic_net")
 MODELS = (*LINEAR, "forest", "boosting")
 
@@ -53,20 +52,43 @@ def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return [c for c, t in cols if t not in ("string", "timestamp", "timestamp_ntz", "date")], [c for c, t in cols if t == "string"]
 
 
-def design(train: DataFrame, numeric: list[str], categorical: list[str], one_hot: bool) -> PipelineModel:
-    """Category codes learned on the training rows only; unseen values get their own code."""
+def design(train: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
+    """Sparse one-hot codes learned on the training rows only, and features that no others add up to.
+
+    Unseen values get a code of their own. Constant features and those that are linear in the ones before them are left
+    out, so a linear model has one solution.
+    """
     stages: list = []
     inputs = list(numeric)
     if categorical:
         codes = [f"_code_{c}" for c in categorical]
         stages.append(StringIndexer(inputCols=categorical, outputCols=codes, handleInvalid="keep"))
-        if one_hot:
-            hot = [f"_hot_{c}" for c in categorical]
-            stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"))
-            codes = hot
-        inputs += codes
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"))
-    return Pipeline(stages=stages).fit(train)
+        hot = [f"_hot_{c}" for c in categorical]
+        stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"))
+        inputs += hot
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_all", handleInvalid="skip"))
+    shape = Pipeline(stages=stages).fit(train)
+    keep = independent(shape.transform(train).select("_all"), "_all")
+    slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=keep)
+    return PipelineModel(stages=[*shape.stages, slicer])
+
+
+def independent(df: DataFrame, column: str, least: float = 1e-6) -> list[int]:
+    """Positions of the vector's entries that vary and are not linear in the kept ones before them.
+
+    One pass gives the correlations; an entry stays if the share of its variance that the kept ones leave is ``least``.
+    """
+    corr = np.asarray(Correlation.corr(df, column).first()[0].toArray())
+    kept: list[int] = []
+    rest: list[np.ndarray] = []
+    for j in np.flatnonzero(np.isfinite(corr).sum(axis=1) > 1) if len(corr) > 1 else range(len(corr)):
+        row = np.nan_to_num(corr[j]).copy()
+        for other, base in zip(kept, rest):
+            row -= base[j] / base[other] * base
+        if row[j] > least:
+            kept.append(int(j))
+            rest.append(row)
+    return kept or [0]
 
 
 def estimator(name: str, params: dict, rows: int, seed: int = 42):
@@ -118,12 +140,12 @@ def cross_validate(data: DataFrame, bounds: list, name: str, params: dict) -> fl
 
 
 def search(data: DataFrame, name: str, trials: int, folds: int = 5, seed: int = 42, space: dict | None = None,
-           threads: int = 4) -> Fit:
-    """Seeded random search on a bounded sample; trials run side by side as Spark jobs."""
+           threads: int = 4, rows: int | None = None) -> Fit:
+    """Seeded random search; trials run side by side as Spark jobs. All rows are used unless the caller asks for about ``rows``."""
     ranges = (space or SPACE)[name]
     rng = np.random.default_rng([seed, MODELS.index(name)])
     options = [draw(name, rng, space) for _ in range(trials if ranges else 1)]
-    tune = S.hash_sample(data, TUNE_ROWS, ["ci_name", "event_date_time"], seed).persist()
+    tune = (data if rows is None else S.hash_sample(data, rows, ["ci_name", "event_date_time"], seed)).persist()
     try:
         bounds = S.fold_bounds(tune, folds).orderBy("fold").collect()
         with ThreadPoolExecutor(max_workers=threads) as pool:

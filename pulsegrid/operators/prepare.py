@@ -112,20 +112,17 @@ def isolation_scores(df: DataFrame, key: str, cols: list[str], trees: int = 100,
                      seed: int = 42) -> DataFrame:
     """Anomaly score of each row.
 
-    Every tree grows in its own task on about ``sample`` rows picked by hash; the
-    forest (trees x sample nodes, whatever the table size) is then sent to all rows.
+    Every tree grows in its own task on about ``sample`` rows (the size the method itself sets),
+    picked by hash from the whole table; the forest (trees x sample nodes, whatever the table size) is then sent to all rows.
     """
     n = df.count()
-    grain = 1 << 30
-    pool_n = min(n, 4 * trees * sample)
-    row = F.coalesce(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(grain)), F.lit(0))
-    pool = df.select(key, *cols).filter(row < math.ceil(grain * pool_n / max(n, 1)))
-    pick = min(1.0, sample / max(pool_n, 1))
+    grain = 1 << 52
+    pick = min(1.0, sample / max(n, 1))
     x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
     tree = F.explode(F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed + 1)), F.lit(grain)) < math.ceil(grain * pick)))
-    chosen = pool.select(key, x.alias("x"), tree.alias("tree"))
+    chosen = df.select(key, x.alias("x"), tree.alias("tree"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

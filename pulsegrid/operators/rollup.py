@@ -132,8 +132,3 @@ def constant_columns(df: DataFrame, cols: list[str], count_null: bool = True) ->
         return F.struct(F.lit(c).alias("column_name"), (~(two_values | mixed)).alias("is_constant"))
 
     return df.agg(F.array(*[spread(c) for c in cols]).alias("r")).selectExpr("inline(r)")
-
-
-def drop_constant_columns(df: DataFrame, cols: list[str], count_null: bool = True) -> DataFrame:
-    flags = constant_columns(df, cols, count_null).filter("is_constant").collect()
-    return df.drop(*[r["column_name"] for r in flags])

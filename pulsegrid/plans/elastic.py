@@ -1,4 +1,4 @@
-"""Elastic clustering: compare distances on a sample, assign the fleet with the best."""
+"""Elastic clustering: compare distances over the whole fleet, assign it with the best."""
 
 from __future__ import annotations
 
@@ -10,20 +10,19 @@ from pulsegrid.session import settle
 
 
 def compare_distances(series: DataFrame, names: tuple[str, ...] = tuple(K.DISTANCES), ks: tuple[int, ...] = X.K_RANGE,
-                      size: int = X.COMPARE_SAMPLE, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored runs, labels and the sampled series."""
-    sample = settle(X.sample_series(series, size, seed))
-    pairs = settle(X.pair_distances(sample, names))
-    labels = settle(X.kmedoids(pairs, ks, seed))
-    return X.score_runs(sample, pairs, labels), labels, sample
+                      seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
+    """Scored runs, labels and medoids of every distance and ``k``, over all series."""
+    found = X.fleet_medoids(series, tuple((name, k) for name in names for k in ks), seed)
+    labels = settle(X.label_fleet(series, found))
+    return X.score_runs(series, labels), labels, found
 
 
 def cluster_fleet(df: DataFrame, names: tuple[str, ...] = tuple(K.DISTANCES), ks: tuple[int, ...] = X.K_RANGE,
-                  size: int = X.COMPARE_SAMPLE, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Assignments of every fenced series and the best setting per distance."""
     series = settle(S.prepare_series(df))
-    runs, labels, sample = compare_distances(series, names, ks, size, seed)
+    runs, _, found = compare_distances(series, names, ks, seed)
     best = E.best_per_group(runs).persist()
     top = best.orderBy(best["combined_score"].desc(), "distance").first()
-    medoids = X.medoid_series(sample, labels, top["distance"], top["k"])
+    medoids = [(c, v) for c, (_, v) in enumerate(found[top["distance"], top["k"]])]
     return X.assign_fleet(series, medoids, top["distance"]), best

@@ -153,10 +153,6 @@ def score_assignments(data: dict[str, DataFrame], assignments: DataFrame) -> Dat
         rows, "run_id string, rep string, n_clusters int, silhouette double, calinski_harabasz double, davies_bouldin double, counts array<bigint>")
 
 
-def partitions_of(assignments: DataFrame) -> DataFrame:
-    return assignments.select(F.col("run_id").alias("partition_id"), "item", "label")
-
-
 def report(table: DataFrame, cols: list[str], labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cluster means and the features that set the clusters apart."""
     rows = table.withColumnRenamed("ci_name", "item")

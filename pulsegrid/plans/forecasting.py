@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,11 +39,10 @@ def split_sets(data: DataFrame, numeric: list[str]) -> tuple[DataFrame, DataFram
 
 def selected(train: DataFrame, numeric: list[str], k: int = 100) -> list[str]:
     """Numeric features by correlation, forest importance and mutual information, without near duplicates."""
-    sample = S.hash_sample(train, M.TUNE_ROWS, ["ci_name", "event_date_time"])
-    live = [c for c in numeric if c not in {r["column_name"] for r in _constant(sample, numeric)}]
-    scores = P.combined_score(P.target_correlation(sample, live, M.TARGET), P.regression_importance(sample, live, M.TARGET),
-                              P.binned_mutual_information(sample, live, M.TARGET))
-    return P.choose_features(scores, P.correlated_pairs(sample, live), k)
+    live = [c for c in numeric if c not in {r["column_name"] for r in _constant(train, numeric)}]
+    scores = P.combined_score(P.target_correlation(train, live, M.TARGET), P.regression_importance(train, live, M.TARGET),
+                              P.binned_mutual_information(train, live, M.TARGET))
+    return P.choose_features(scores, P.correlated_pairs(train, live), k)
 
 
 def _constant(df: DataFrame, cols: list[str]) -> list:
@@ -60,15 +58,12 @@ def run_cluster(data: DataFrame, models: Iterable[str] = M.MODELS, trials: dict
     train, test = split_sets(data, numeric)
     train, test = settle(train), settle(test)
     try:
-        rows = train.count()
-        big = rows >= M.BIG_ROWS
         used = selected(train, numeric) if select else numeric
-        shape = M.design(train, used, text, one_hot=not big)
+        shape = M.design(train, used, text)
         keep = ["ci_name", "event_date_time", "cluster", M.TARGET, "features"]
         x, y = settle(shape.transform(train).select(*keep)), settle(shape.transform(test).select(*keep))
-        names = [m for m in models if not (big and m == "forest")]
         budget = trials if isinstance(trials, int) else None
-        fits = [M.tune_and_fit(x, y, m, budget or (trials or TRIALS)[m], folds or (3 if big else 5), seed, space) for m in names]
+        fits = [M.tune_and_fit(x, y, m, budget or (trials or TRIALS)[m], folds or 5, seed, space) for m in models]
         best = M.best_fit(fits)
         pipe = PipelineModel(stages=[*shape.stages, best.model])
         pred = best.model.transform(y).select("ci_name", "event_date_time", M.TARGET, "y_pred", "cluster")
@@ -113,7 +108,3 @@ def compare(fits: list[M.Fit], spark: SparkSession, cluster: int) -> DataFrame:
 def predictions(spark: SparkSession, out: str) -> DataFrame:
     """Union of every cluster's predictions by one partitioned read."""
     return spark.read.parquet(f"{out}/predictions")
-
-
-def all_predictions(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -27,6 +27,17 @@ def test_every_method_finds_clear_groups(spark):
     assert agrees(df, C.dbscan(df, 1.5, 4).select("item", "label"))
 
 
+def test_starting_centres_come_from_all_rows(spark):
+    df = blobs(spark, 200).persist()
+    n, mean, cov = C.moments(df)
+    x = np.array([r["vec"] for r in df.collect()])
+    assert n == 600 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    starts = C.starting_centres(df, [(3, r) for r in range(8)])
+    assert all(len({int(((s - m) ** 2).sum(axis=1).argmin()) for m in ((0, 0), (10, 0), (0, 10))}) == 3 for s in starts.values())
+    again = C.starting_centres(df.repartition(7), [(3, r) for r in range(8)])
+    assert all(np.allclose(starts[k], again[k]) for k in starts)
+
+
 @pytest.mark.parametrize("target", [7, 50, 1000])
 def test_blocks_do_not_change_results(spark, target):
     df = blobs(spark, 40).persist()
