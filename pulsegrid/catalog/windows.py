@@ -173,6 +173,9 @@ ORACLES = {
   WHERE p IS NOT NULL GROUP BY 1"""),
     "cluster_join_summary": sql("poller", """SELECT CAST(substr(ci_name, 4) AS INT) % 4 AS cluster, count(DISTINCT ci_name) AS devices,
   count(*) AS n_rows FROM poller GROUP BY 1"""),
+    "stratified_sample": sql("poller", """SELECT cluster, ci_name FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY key, ci_name) AS rank FROM p)
+  ORDER BY CAST(rank > ceil(10.0 / (SELECT count(DISTINCT cluster) FROM p)) AS INT), rank, key LIMIT 10""",
+                             ["p AS (SELECT DISTINCT CAST(substr(ci_name, 4) AS INT) % 4 AS cluster, ci_name, md5(concat(ci_name, ':42')) AS key FROM poller)"]),
     "downsample_step": sql("type_hourly", """SELECT ci_name, event_date_time, event_value FROM (SELECT *, count(*) OVER (PARTITION BY ci_name) AS n,
   row_number() OVER (PARTITION BY ci_name ORDER BY event_date_time) AS rn FROM type_hourly) WHERE (rn - 1) % CAST(ceil(n / 400) AS INT) = 0"""),
 }

@@ -71,8 +71,8 @@ def stratified_sample(df: DataFrame, total: int = 10, seed: int = 42) -> DataFra
     lowest ranks of a cluster can be picked, so ranks come from a top-k aggregate.
     """
     pairs = df.select("cluster", "ci_name").distinct()
-    key = F.xxhash64(F.col("ci_name"), F.lit(seed))
-    part = pairs.withColumns({"key": key, "part": F.pmod(key, F.lit(64))})
+    key = F.md5(F.concat("ci_name", F.lit(f":{seed}")))
+    part = pairs.withColumns({"key": key, "part": F.substring(key, 1, 2)})
     first = Window.partitionBy("cluster", "part").orderBy("key", "ci_name")
     final = Window.partitionBy("cluster").orderBy("key", "ci_name")
     top = part.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= total)
