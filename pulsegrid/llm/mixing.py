@@ -12,7 +12,7 @@ from pulsegrid.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a draw, the bits that one narrowing step looks at, and the steps before the last rows are ranked.
-DRAW_BITS, STEP_BITS, STEPS = 60, 15, 2
+DRAW_BITS, STEP_BITS, STEPS = 60, 10, 3
 #: Up to so many sources (a few numbers each) a table with a row for each source is broadcast.
 FEW_SOURCES = 100_000
 
@@ -73,7 +73,7 @@ def mixing_plan(narrow: DataFrame, weights: int = 3, epochs: int = 3) -> DataFra
 
     The documents of a source stand in the order of their draws; those before the one in which the remainder of the
     target falls are repeated once more, and that one if half of it or more lies below. The cut is found by sums over
-    ranges of draws, 15 bits of them at a time, so no task holds a source.
+    ranges of draws, 10 bits of them at a time, so no task holds a source.
     """
     targets = source_targets(narrow, weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -96,7 +96,7 @@ def mixing_plan(narrow: DataFrame, weights: int = 3, epochs: int = 3) -> DataFra
 
 
 def _crossed(sums: DataFrame, order: str) -> DataFrame:
-    """Of each source the first range at whose end the sizes pass ``rest``; a source has at most 2^15 ranges here."""
+    """Of each source the first range at whose end the sizes pass ``rest``; a source has at most 2^10 ranges here."""
     by = Window.partitionBy("source").orderBy(order)
     ends = sums.withColumn("end", F.col("below") + F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     passed = ends.where("end > rest").withColumn("k", F.row_number().over(by)).where("k = 1")
