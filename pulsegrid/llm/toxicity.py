@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +42,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 TRIGGER = re.compile(rf"[{_SYMBOL}*][a-z]|([a-z])\1\1|(?<![^\W_])[a-z{_SYMBOL}][ .\-_~*]{{1,2}}[a-z{_SYMBOL}][ .\-_~*]{{1,2}}[a-z{_SYMBOL}](?![^\W_])")
 #: Labelled rows the word model is fitted on, and the words it may use.
 SAMPLE_ROWS, LEXICON_WORDS = 20_000, 400
+#: Lengths of the word beginnings that count beside whole words, so that inflected insults are met, and the most
+#: different words of one beginning that add to a score.
+PREFIXES, PREFIX_WORDS = (4, 5, 6), 3
 
 
 def character_counts(texts: Iterable[bytes]) -> np.ndarray:
@@ -148,11 +152,15 @@ class Restorer:
 @dataclass
 class Model:
     costs: np.ndarray
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)  # of words, and of beginnings with a star
     bias: float = -math.inf
 
     def score(self, words: set[str]) -> float:
-        total = self.bias + sum(self.weights[w] for w in sorted(words & self.weights.keys()))
+        known = self.weights.keys()
+        total = self.bias + sum(self.weights[w] for w in sorted(words & known))
+        for k in PREFIXES:
+            starts = Counter(s for w in words if len(w) > k and (s := w[:k] + "*") in known)
+            total += sum(self.weights[s] * min(n, PREFIX_WORDS) for s, n in sorted(starts.items()))
         return 1 / (1 + math.exp(-total)) if total > -700 else 0.0
 
 
@@ -171,11 +179,29 @@ def _sample(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int) ->
     return cut_lineage(found.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(rows))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _longer(k: int):
+    return lambda w: F.length(w) > k
+
+
+def _start(k: int):
+    return lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))
+
+
+def _features(words: Column) -> Column:
+    """The words, and the beginning of each one that is longer."""
+    starts = [F.transform(F.filter(words, _longer(k)), _start(k)) for k in PREFIXES]
+    return F.concat(words, *starts)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
     """Non-negative weights and a bias by accelerated proximal steps on the L1-penalised logistic loss."""
     n, d = x.shape
     w, bias = np.zeros(d), math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    rate = 4 * n / max(1.0, float((np.linalg.norm(x, axis=1) ** 2 + 1).sum()))
+    lead, steep = np.ones(d), 1.0
+    for _ in range(30):  # the largest eigenvalue bounds the curvature
+        lead = x.T @ (x @ (lead / np.linalg.norm(lead)))
+        steep = float(np.linalg.norm(lead))
+    rate = 4 * n / (1.2 * (steep + n))
     seen_w, seen_b, t = w, bias, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ seen_w + seen_b, -30, 30)))
@@ -201,19 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lexicon: in
     if toxic in (0, n):
         model.bias = min(model.bias, -1.0) if not toxic else max(model.bias, 1.0)
         return model
-    seen = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(
+    sample = sample.withColumn("row", F.monotonically_increasing_id())
+    each = sample.select("row", "label", F.explode(_features(F.col("words"))).alias("word")).groupBy("row", "label", "word").agg(F.count("*").alias("n"))
+    seen = each.groupBy("word").agg(
         F.sum("label").alias("pos"), F.count("*").alias("df")).where("pos >= 3")
     mean = F.col("df") * (toxic / n)
     odd = seen.withColumn("z", (F.col("pos") - mean) / F.sqrt(mean * (1 - toxic / n) + 1e-9)).where("z > 3")
     words = sorted(r["word"] for r in odd.orderBy(F.desc("z"), "word").limit(lexicon).collect())
     if not words:
         return model
-    listed = F.array(*[F.lit(w) for w in words])
-    x, y = np.zeros((n, len(words)), np.float32), np.zeros(n, np.float32)
+    order = {r["row"]: (k, r["label"]) for k, r in enumerate(sample.select("row", "label").orderBy("row").collect())}
     at = {w: k for k, w in enumerate(words)}
-    for k, row in enumerate(sample.select("label", F.array_intersect("words", listed).alias("words")).toLocalIterator()):
-        y[k] = row["label"]
-        x[k, [at[w] for w in row["words"]]] = 1
+    x, y = np.zeros((n, len(words)), np.float32), np.array([label for _, label in order.values()], np.float32)
+    for r in each.where(F.col("word").isin(words)).select("row", "word", "n").collect():  # of a bounded sample and lexicon
+        x[order[r["row"]][0], at[r["word"]]] = min(r["n"], PREFIX_WORDS)
     weights, model.bias = _logistic(x, y, penalty=2e-4)
     model.weights = {w: round(float(v), 9) for w, v in zip(words, weights) if v > 0}
     return model

@@ -61,11 +61,13 @@ def test_character_counts_match_a_plain_count():
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     got = docs.where(held_out()).select("doc_id", toxicity.toxicity(model).alias("score")).join(labels, "doc_id").collect()
     hit = sum((r["score"] >= .5) == bool(r["toxic"]) for r in got)
-    assert len(got) > 40 and hit / len(got) > .95
+    caught = [r["score"] >= .5 for r in got if r["toxic"]]
+    # some toxic rows lost their insults to junk before they came here
+    assert len(got) > 400 and hit / len(got) > .98 and np.mean(caught) > .85
 
 
 def test_odd_rows(spark):
