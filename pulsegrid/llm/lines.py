@@ -1,6 +1,7 @@
 """Fuzzy line deduplication in DataFrame expressions alone.
 
-Lines get SimHash fingerprints from packed bit counts. Lines within the radius
+Lines get SimHash fingerprints from Spark's hashed word counts and random
+projections. Lines within the radius
 agree on some combination of bit blocks (pigeonhole), where they meet. Each is
 checked against the smallest line it meets first; only lines that are still in
 different groups are then paired with each other, so a large group of copies
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.llm.components import connected
@@ -19,31 +22,32 @@ from pulsegrid.session import cut_lineage
 
 #: Differing bits, blocks of which two agree, least edit similarity, and words of a line that is compared at all.
 RADIUS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.8, 5
-_LANES = (1 << 32) | 1
+#: Hashed word counts that the fingerprints' random directions weigh.
+FEATURES, BITS, SEED = 1 << 14, 64, 7
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line, norm)`` of all lines of whole texts; ``norm`` has lower-case words with one space between."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("norm", F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " ")))
+    """``(doc_id, line_no, line)`` of all lines of whole texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _fingerprint(n: Column) -> Column:
-    """Bits that more than half of the ``n`` words set, from the counts ``s0`` to ``s31`` of two bits each."""
-    low = F.lit(0xFFFFFFFF)
-    bits = [F.shiftleft((2 * half > n).cast("long"), j + shift) for j in range(32)
-            for half, shift in ((F.col(f"s{j}").bitwiseAND(low), 0), (F.shiftrightunsigned(f"s{j}", 32), 32))]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def line_words(line: Column) -> Column:
+    """A line's lower-case words, stretches of letters and digits."""
+    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, line_no, k, size, fp)`` of every line of at least ``min_words`` words; ``k`` is the hash of its words."""
-    words = line_table(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("k"), F.length("norm").alias("size"), F.split("norm", " ").alias("words"))
-    each = words.select("doc_id", "line_no", "k", "size", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    h = F.xxhash64("word")
-    sums = [F.sum(F.shiftright(h, j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(32)]
-    counted = each.groupBy("doc_id", "line_no", "k", "size", "n_words").agg(F.count("*").alias("n"), *sums)
-    return counted.where(F.col("n_words") >= min_words).select("doc_id", "line_no", "k", "size", _fingerprint(F.col("n")).alias("fp"))
+    """``(doc_id, line_no, k, size, fp)`` of every line of at least ``min_words`` words; ``k`` is the hash of its words.
+
+    Bit ``i`` of the SimHash ``fp`` tells on which side of random direction ``i`` the line's word counts lie.
+    """
+    words = line_table(docs).select("doc_id", "line_no", F.explode(F.array(line_words(F.col("line")))).alias("words"))
+    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES).transform(words.where(F.size("words") >= min_words))
+    sides = BucketedRandomProjectionLSH(inputCol="tf", outputCol="sides", bucketLength=1e9, numHashTables=BITS, seed=SEED)
+    hashed = sides.fit(counted).transform(counted)  # one bucket on each side of a direction: -1 or 0
+    bits = [F.shiftleft((vector_to_array(F.col("sides")[i])[0] < 0).cast("long"), i) for i in range(BITS)]
+    return hashed.select("doc_id", "line_no", F.xxhash64("words").alias("k"), F.length(F.array_join("words", " ")).alias("size"),
+                         reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
 
 
 def _close(radius: int, similarity: float) -> Column:
@@ -52,10 +56,14 @@ def _close(radius: int, similarity: float) -> Column:
     return near & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size"))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of line hashes whose texts have at least the edit similarity; texts come from a new scan."""
+def _similar(docs: DataFrame, seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of line hashes whose words have at least the edit similarity; one line each is looked up again."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = line_table(docs).select(F.xxhash64("norm").alias("k"), "norm").join(asked, "k", "left_semi").groupBy("k").agg(F.first("norm").alias("norm"))
+    place = F.min(F.struct("doc_id", "line_no")).alias("at")
+    wanted = seen.select("k", "doc_id", "line_no").join(asked, "k").groupBy("k").agg(place).select("k", F.col("at.doc_id").alias("id"), F.col("at.line_no").alias("no"))
+    found = line_table(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("no")))
+    texts = found.select("k", F.explode(F.array(line_words(F.col("line")))).alias("words")).where(F.xxhash64("words") == F.col("k"))
+    texts = texts.groupBy("k").agg(F.first(F.array_join("words", " ")).alias("norm"))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - similarity) + 1e-9).cast("int"))
     few = F.expr("levenshtein(x, y, least(most, 8 + most div 10))") >= 0  # a narrow band of edits settles most pairs
@@ -74,7 +82,7 @@ def line_groups(docs: DataFrame, seen: DataFrame, radius: int = RADIUS, blocks:
     lead = distinct.toDF("b", "fp", "size").alias("b")
     star = member.where("k <> first").alias("a").join(lead, F.col("a.first") == F.col("b.b")).where(_close(radius, similarity))
     star = cut_lineage(star.select(F.col("a.k").alias("a"), "b.b").distinct())
-    links = cut_lineage(_similar(docs, star, similarity))
+    links = cut_lineage(_similar(docs, seen, star, similarity))
     groups = connected(links, "a", "b")
     labelled = member.join(groups, F.col("k") == F.col("node"), "left").select("choice", "bits", "k", "fp", "size", F.coalesce("component", "k").alias("label"))
     other = cut_lineage(labelled)
@@ -84,7 +92,7 @@ def line_groups(docs: DataFrame, seen: DataFrame, radius: int = RADIUS, blocks:
                                    & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label")) & _close(radius, similarity) & ~met_before)
     across = cut_lineage(across.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
     if not across.isEmpty():
-        links = links.unionByName(_similar(docs, across, similarity))
+        links = links.unionByName(_similar(docs, seen, across, similarity))
         groups = connected(links, "a", "b")
     return groups.toDF("k", "label")
 

@@ -29,9 +29,9 @@ def brute(spark, rows, radius, similarity=.8):
             if len(norm.split()) >= 5:
                 seen.append((i, n, norm))
     texts = sorted({x for *_, x in seen})
-    words = sorted({w for t in texts for w in t.split()})
-    h = {r["w"]: r["h"] % (1 << 64) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    fp = {t: sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in t.split()) > len(t.split())) for t in texts}
+    key = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64(F.split("t", " ")).alias("k")).collect()}
+    known = {r["k"]: r["fp"] % (1 << 64) for r in lines.occurrences(spark.createDataFrame([(0, t) for t in texts], "doc_id long, text string")).collect()}
+    fp = {t: known[key[t]] for t in texts}
     root = {t: t for t in texts}
 
     def find(t):
@@ -84,3 +84,13 @@ def test_texts_keep_their_other_lines(spark):
 
 def test_empty_table(spark):
     assert lines.dropped_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fingerprints_follow_the_angle(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(40)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[1:] + ["new"])), (2, " ".join(rng.choice(words) for _ in range(40)))]
+    fp = {r["doc_id"]: r["fp"] for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near, far = ((fp[0] ^ fp[k]) % (1 << 64) for k in (1, 2))
+    assert near.bit_count() <= 10 and 20 <= far.bit_count() <= 44
