@@ -25,8 +25,6 @@ CHUNK_ROWS, CHUNK_WORDS = 512, 200_000
 #: Factor for each step to a shorter context, and the least count of a word pair in the table.
 BACKOFF, MIN_COUNT = 0.4, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Stored bits of a hash; with the bucket's they tell n-grams apart.
-STORED_BITS = 48
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -60,14 +58,14 @@ class Chunk:
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, as a column of 32 and one of 16 bits."""
-    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes() + (hashes >> np.uint64(16)).astype(np.uint16).tobytes()
+    """The upper 40 bits of each hash, as a column of 32 and one of 8 bits; the bucket holds further bits, more with more buckets."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes() + (hashes >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    high = np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16)
-    return high | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64)
+    n = len(data) // 5
+    high = np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)
+    return high | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64)
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
