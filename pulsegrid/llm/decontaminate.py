@@ -2,8 +2,9 @@
 
 TF-IDF passages of all documents, over the words of the benchmark, are
 factorised by a randomised SVD whose sketch is summed over the tasks.
-Passages near a benchmark passage in the latent space are candidates; the
-longest common subsequence with the whole item and its answer decide.
+Passages that cover a benchmark passage in the latent space, and then by the
+words themselves, are candidates; the longest common subsequence with the
+whole item and its answer decide.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ from pulsegrid.llm.common import slices, utf8
 #: Words of a passage; passages of the search start every ``PASSAGE / 2`` words.
 PASSAGE = 32
 RANK, OVERSAMPLE = 64, 16
-#: Least cosine of a candidate and least share of the item's latent length that it covers.
-COSINE, COVERED = 0.5, 0.4
+#: Least share of a benchmark passage that a candidate covers, by its latent length and by the weight of its words.
+#: Other words beside the passage do not lower either share.
+COVERED = 0.4
 #: Least common subsequence (share of the item's words) alone and with the answer present.
 COMMON, COMMON_WITH_ANSWER = 0.8, 0.6
-#: A word's weight halves where it is in this share of the documents, and falls with the square beyond.
-FREQUENT = 0.05
+#: Weight of a word that stands in every benchmark passage.
+LEAST_WEIGHT = 0.1
 #: Benchmark items handled at a time, and words of an answer that count.
 ITEMS, ANSWER_WORDS = 2_000, 4
+#: Passages of a text that are compared at a time, so that a very long text needs little memory.
+ROWS = 512
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -94,35 +98,23 @@ def _coded(text: bytes, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.nd
     return at, codes[at], len(words)
 
 
-def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, int, np.ndarray]:
-    """Numbers of documents and of their passages, and in how many documents each benchmark word occurs."""
-    size = len(vocabulary)
+def word_weights(bench: Benchmark) -> np.ndarray:
+    """Inverse frequency of each word over the benchmark's passages.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 2, np.int64)
-        known = vocabulary.keys()
-        for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                words = words_of(text)
-                total[[vocabulary[w] for w in known & set(words)]] += 1
-                total[size + 1] += len(words) // PASSAGE + 1
-            total[size] += part.num_rows
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
-
-    out = np.zeros(size + 2, np.int64)
-    for row in docs.select(utf8().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[row["word"]] = row["n"]
-    return int(out[size]), int(out[size + 1]), out[:size]
+    Documents have no say in it: an item that many of them hold keeps its weight.
+    """
+    parts = bench.passages()[1]
+    held = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=len(bench.vocabulary))
+    return np.log((len(parts) + 1) / (held + 1.0)) + LEAST_WEIGHT
 
 
-def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """``A'A omega`` over the TF-IDF passages ``A`` of all documents, added up in the tasks and then by word."""
+def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray, omega: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of passages, and ``A'A omega`` over the TF-IDF passages ``A`` of all documents, added up in the tasks and then by word."""
     weighted = (omega * weights[:, None]).astype(np.float32)
     size, width = weighted.shape
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, width))
+        total = np.zeros((size + 1, width))  # the last row counts passages
         for part in slices(batches):
             held, rows, passages = [], [], 0
             for text in part.column(0).to_pylist():
@@ -131,6 +123,7 @@ def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray,
                 rows.append(passages + at // PASSAGE)
                 passages += n // PASSAGE + 1
             codes, rows = np.concatenate(held), np.concatenate(rows)
+            total[size] += passages
             if not len(codes):
                 continue
             new = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
@@ -151,10 +144,10 @@ def _sketch(docs: DataFrame, vocabulary: dict[bytes, int], weights: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["word", "v"])
 
     parts = docs.select(utf8().alias("text")).mapInArrow(run, "word long, v array<double>")
-    out = np.zeros((size, width))
+    out = np.zeros((size + 1, width))
     for row in parts.repartition("word").mapInArrow(add, "word long, v array<double>").toLocalIterator():  # one row for each benchmark word
         out[row["word"]] = row["v"]
-    return out * weights[:, None]
+    return round(out[size, 0]), out[:size] * weights[:, None]
 
 
 def latent_basis(docs: DataFrame, bench: Benchmark, rank: int = RANK, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -164,12 +157,10 @@ def latent_basis(docs: DataFrame, bench: Benchmark, rank: int = RANK, oversample
     even where few documents use them.
     """
     vocabulary = bench.vocabulary
-    n, passages, df = document_frequency(docs, vocabulary)
-    share = df / max(1, n)
-    weights = (np.log((n + 1) / (df + 1.0)) + 1e-3) / (1 + (share / FREQUENT) ** 2)
+    weights = word_weights(bench)
     width = min(len(vocabulary), rank + oversample)
     omega = np.linalg.qr(np.random.default_rng(7).standard_normal((len(vocabulary), width)))[0]
-    y = _sketch(docs, vocabulary, weights, omega)
+    passages, y = _sketch(docs, vocabulary, weights, omega)
     parts = bench.passages()[1]
     for words in parts:
         np.add.at(y, words, max(1, passages) / len(parts) * weights[words][:, None] * (omega * weights[:, None])[words].sum(axis=0))
@@ -201,6 +192,12 @@ class Finder:
         queries = np.stack([self.table[p].sum(axis=0) for p in parts])
         self.lengths = np.maximum(np.linalg.norm(queries, axis=1), 1e-12)
         self.queries = (queries / self.lengths[:, None]).T.copy()
+        distinct = [np.unique(p) for p in parts]
+        self.asked = np.zeros((len(parts), max(map(len, distinct))), np.int64)
+        self.worth = np.zeros(self.asked.shape)  # 0 in the places that shorter passages leave empty
+        for k, p in enumerate(distinct):
+            self.asked[k, :len(p)] = p
+            self.worth[k, :len(p)] = weights[p] / weights[p].sum()
         self.masks = []
         for words in bench.words:
             masks: dict[bytes, int] = {}
@@ -209,20 +206,36 @@ class Finder:
             self.masks.append(masks)
 
     def candidates(self, text: bytes) -> list[tuple[int, int]]:
-        """``(item, passage start)`` of the latent neighbours."""
+        """``(item, passage start)`` of the latent neighbours that share enough of the item's words."""
         at, codes, n = _coded(text, self.bench.vocabulary)
-        if not len(at):
-            return []
         half = PASSAGE // 2
         cells = at // half
+        found: set[tuple[int, int]] = set()
+        for begin in range(0, n // half + 1, ROWS):  # a passage is two cells, so one more cell is read
+            lo, hi = np.searchsorted(cells, [begin, begin + ROWS + 1])
+            if lo < hi:
+                found.update(self._near(cells[lo:hi] - begin, codes[lo:hi], min(ROWS, n // half + 1 - begin), begin * half))
+        return sorted(found)
+
+    def _near(self, cells: np.ndarray, codes: np.ndarray, rows: int, start: int) -> Iterator[tuple[int, int]]:
         new = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-        sums = np.zeros((n // half + 2, self.table.shape[1]), np.float32)
+        sums = np.zeros((rows + 1, self.table.shape[1]), np.float32)
         sums[cells[new]] = np.add.reduceat(self.table[codes], new, axis=0)
-        passages = sums[:-1] + sums[1:]
-        norms = np.sqrt((passages ** 2).sum(axis=1))
-        along = passages @ self.queries
-        row, query = np.nonzero((along >= COSINE * np.maximum(norms, 1e-6)[:, None]) & (along >= COVERED * self.lengths))
-        return sorted(set(zip(self.owner[query].tolist(), (row * half).tolist())))
+        row, query = np.nonzero((sums[:-1] + sums[1:]) @ self.queries >= COVERED * self.lengths)
+        if not len(row):
+            return iter(())
+        words, column = np.unique(codes, return_inverse=True)
+        place = np.zeros(len(self.table), np.int64)  # 0 for words that do not occur
+        place[words] = np.arange(1, len(words) + 1)
+        holds = np.zeros((rows + 1, len(words) + 1), bool)
+        holds[cells, column + 1] = True
+        holds[:-1] |= holds[1:]
+        keep = []
+        for k in range(0, len(row), 1 << 14):
+            q = query[k:k + (1 << 14)]
+            keep.append((holds[row[k:k + (1 << 14), None], place[self.asked[q]]] * self.worth[q]).sum(axis=1) >= COVERED)
+        keep = np.concatenate(keep)
+        return zip(self.owner[query[keep]].tolist(), (start + row[keep] * (PASSAGE // 2)).tolist())
 
     def matches(self, text: bytes) -> list[tuple[int, float, bool]]:
         """``(item, common share, answer present)`` of the items found in a text, each with its best passage."""

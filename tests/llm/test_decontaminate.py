@@ -43,6 +43,24 @@ def test_paraphrases_copies_and_odd_rows(spark):
     assert len(flags) == 5
 
 
+@pytest.mark.parametrize("words,share", [(16, .1), (16, .33), (36, .33)])
+def test_items_that_many_documents_hold(spark, words, share):
+    rng = random.Random(words)
+    common, rare = [f"c{k}" for k in range(200)], [f"r{k}" for k in range(4000)]
+    text = lambda n: [rng.choice(common if rng.random() < .5 else rare) for _ in range(n)]
+    items = [(k, " ".join(text(words if k == 0 else 40))) for k in range(60)]
+    rows, holding = [], set()
+    for i in range(400):
+        own = text(rng.randint(60, 300))
+        if rng.random() < share:
+            at = rng.randint(0, len(own))
+            own[at:at] = items[0][1].split()
+            holding.add(i)
+        rows.append((i, " ".join(own)))
+    got = d.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["item_id"] == 0 and r["common"] == 1} == holding
+
+
 def test_no_items_or_documents(spark):
     none, docs = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b", "", 0)], SCHEMA)
     assert d.contamination(docs, none).count() == 0
