@@ -13,7 +13,7 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dropped_lines(table(spark, sf_dir, "documents"))
+    found = lines.dropped_lines(table(spark, sf_dir, "documents"), min_words=1)  # every line that has a word
     return found.withColumn("n_dropped", F.size("dropped")).select("doc_id", "n_lines", "n_dropped", "dropped")
 
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import lines
+from pulsegrid.llm import lines, queries
 
 SCHEMA = "doc_id long, text string, line string, k int, dropped string"
 
@@ -94,3 +94,10 @@ def test_fingerprints_follow_the_angle(spark):
     fp = {r["doc_id"]: r["fp"] for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     near, far = ((fp[0] ^ fp[k]) % (1 << 64) for k in (1, 2))
     assert near.bit_count() <= 10 and 20 <= far.bit_count() <= 44
+
+
+def test_query_compares_lines_of_few_words(spark, tmp_path):
+    rows = [(1, "Menu\n\none two three four five\nonelonglinewithoutspaces"), (2, "menu.\nONE, two three four five\nsee also"), (3, "See also!\n---\nonelonglinewithoutspaces\nother")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, []), 2: (3, [0, 1]), 3: (3, [0, 2])}
