@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontaminate, lattice, licenses, lines, lmscore, mixing, quality, sharding, simhash, toxicity
+from pulsegrid.llm import alignment, decontaminate, lattice, licenses, lines, lmscore, mixing, quality, sharding, simhash, toxicity
 from pulsegrid.llm.common import held_out, table
 
 
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -64,5 +68,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op5_mixing": mixing.ORACLE}
