@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_files(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as Parquet files under the checkpoint folder.
+
+    For loops over many rounds: a checkpoint inherits the constraints of the plan behind it, which can multiply from
+    round to round; files carry none, and long texts take less room in them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """For a table that many small jobs read: written once, cached, and with a short plan.
 
