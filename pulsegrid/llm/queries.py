@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import alignment, decontaminate, lattice, licenses, lines, lmscore, mixing, prefix_trie, quality, sharding, simhash, toxicity
+from pulsegrid.llm import alignment, decontaminate, lattice, licenses, lines, lmscore, mixing, prefix_trie, quality, sharding, simhash, suffix_dedup, toxicity
 from pulsegrid.llm.common import held_out, table
 
 
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }
