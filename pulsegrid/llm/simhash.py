@@ -231,3 +231,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: in
     named = member.join(lowest, "root").select("fp", "component_id", "root")
     return known.join(named, "fp").select(
         "doc_id", _digits(F.col("fp")).alias("fingerprint"), "component_id", _digits(F.col("root")).alias("group"))
+
+
+def representatives(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
+    """The row with the smallest ``doc_id`` of each group of ``near_duplicates``, with all columns of ``docs``.
+
+    Where several rows of the group have this id, or none has any, the row with the smallest text and columns stays.
+    """
+    groups = cut_lineage(near_duplicates(docs, radius, words))
+    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(ids.where("n = 1 AND first").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    twice = ids.where("n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = groups.where("doc_id = component_id").join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+    unclear = groups.where("component_id IS NULL").unionByName(repeated).select("doc_id", "fingerprint", "group").distinct()
+    unclear = cut_lineage(unclear.toDF("__id", "__fp", "__group"))
+    if unclear.isEmpty():
+        return single
+    rows = docs.where("doc_id IS NULL").unionByName(docs.join(twice, F.col("doc_id") == F.col("__id"), "left_semi")).withColumn("__of", fingerprint_of(words=words))
+    met = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__fp")))
+    row = F.struct(F.col("text"), *[c for c, name in zip(columns, docs.columns) if name != "text"])
+    best = met.select("__group", row.alias("__row")).groupBy("__group").agg(F.min("__row").alias("__row"))
+    return single.unionByName(best.select("__row.*").select(*columns))
