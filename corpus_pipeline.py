@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, mixing, sharding, shingles, toxicity
+from pulsegrid.llm import decontaminate, mixing, sharding, simhash, toxicity
 from pulsegrid.llm.common import table
 from pulsegrid.session import cut_lineage
 
@@ -16,26 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts that share four in five word shingles stays.
-
-    Where several rows of the group have this id, or none has any, the row with the smallest text and columns stays.
-    """
-    groups = cut_lineage(shingles.near_duplicates(docs))
-    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    single = docs.join(ids.where("n = 1 AND first").select("doc_id"), "doc_id", "left_semi")
-    twice = ids.where("n > 1").select(F.col("doc_id").alias("__id"))
-    unclear = groups.where("component_id IS NULL").select("doc_id", "fingerprint", "group").unionByName(
-        groups.where("doc_id = component_id").join(twice, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "fingerprint", "group")).distinct()
-    unclear = cut_lineage(unclear.toDF("__id", "__fp", "__group"))
-    if unclear.isEmpty():
-        return single.select(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.where("doc_id IS NULL").unionByName(docs.join(twice, F.col("doc_id") == F.col("__id"), "left_semi"))
-    rows = rows.withColumn("__of", shingles.fingerprint_of())
-    met = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__fp")))
-    row = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    best = met.select("__group", row.alias("__row")).groupBy("__group").agg(F.min("__row").alias("__row"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(*columns).unionByName(best.select("__row.*").select(*columns))
+    """One document of each group of SimHash fingerprints within three bits stays, by shingles of three words."""
+    return simhash.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
