@@ -176,7 +176,8 @@ def _sample(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int) ->
 
     texts = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     found = texts.mapInArrow(run, "doc_id long, label int, words array<string>")
-    return cut_lineage(found.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(rows))
+    least = found.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(rows)
+    return cut_lineage(least.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism))  # the limit leaves one partition
 
 
 def _longer(k: int):
