@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.llm.common import utf8
 from pulsegrid.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,8 +24,8 @@ def word_count(text: str = "text") -> Column:
 
 
 def draw(seed: int) -> Column:
-    """A document's place in the seeded order of its source; rows that repeat an id share it."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """A document's place in the seeded order of its source; only rows of equal id and text share it."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(utf8()))
     return F.conv(F.substring(F.md5(key), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
@@ -111,7 +112,7 @@ def mixture(docs: DataFrame, weights: int = 3, epochs: int = 3, seed: int = 11)
     """``(doc_id, source, size, source_size, target, copies, taken)`` for every row of ``docs``.
 
     ``copies`` is how often the mix repeats the row and ``taken`` is its words times that. Null texts have size 0, a
-    null source is a source of its own, rows that repeat an id (or have none) share one draw and so one decision.
+    null source is a source of its own, rows of equal id (or none) and text share one draw and so one decision.
     Ties do not occur but between such rows. An empty table gives no rows.
     """
     narrow = narrow_documents(docs, seed)
@@ -136,7 +137,7 @@ def mix_documents(docs: DataFrame, weights: int = 3, epochs: int = 3, seed: int
 ORACLE = r"""
 WITH narrow AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    CAST('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS BIGINT) AS draw FROM documents
+    CAST('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS draw FROM documents
 ), ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
   FROM narrow GROUP BY source

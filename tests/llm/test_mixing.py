@@ -50,3 +50,9 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mixture(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mixing.mixture(spark.createDataFrame([(1, "", "a", None, 0), (2, None, None, None, 0)], SCHEMA)).collect()
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0)] * 2
+
+
+def test_rows_without_an_id_or_with_the_same_one_decide_by_text(spark):
+    data = [(None, "w " * (1 + k % 20) + str(k), "A", None, 0) for k in range(200)] + [(7, "v " * (1 + k % 9) + str(k), "B", None, 0) for k in range(300)]
+    for r in mixing.mixture(spark.createDataFrame(data, SCHEMA)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 21
