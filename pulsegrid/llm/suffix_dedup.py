@@ -32,7 +32,7 @@ from pulsegrid.session import cut_lineage, cut_to_files
 #: Bytes of a string that counts as repeated, and the prime that gives the cover: period p*p+p+1 with p+1 sample places.
 LENGTH, PRIME = 400, 11
 #: Text bytes of a chunk (a longer text is a chunk of its own), and bytes hashed at a time.
-CHUNK_BYTES, PIECE = 1 << 22, 1 << 22
+CHUNK_BYTES, PIECE = 1 << 20, 1 << 18
 #: Buckets of suffixes for each partition of the input; a bucket is what a task sorts at once.
 BUCKETS_PER_PARTITION = 4
 _RNG = np.random.default_rng(20)
