@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.common import slices, utf8
-from pulsegrid.session import cut_lineage, cut_to_files
+from pulsegrid.session import cut_lineage
 
 #: Bytes of a string that counts as repeated, and the prime that gives the cover: period p*p+p+1 with p+1 sample places.
 LENGTH, PRIME = 400, 11
@@ -366,13 +366,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prime: int = PRIME) ->
     buckets = max(16, BUCKETS_PER_PARTITION * rows.rdd.getNumPartitions())
     sample = repeated_places(data, sample_places(length, prime), buckets, exact=False)
     sample = cut_lineage(sample.groupBy("key").agg(F.first("at").alias("sample")))
-    texts = data.mapInArrow(_once(length), "key binary, data binary").join(sample, "key").dropDuplicates(["key"])
-    texts = cut_to_files(texts.select("key", "data", "sample"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = data.mapInArrow(_once(length), "key binary, data binary").repartition(tasks, "key").join(sample, "key").dropDuplicates(["key"])
+    texts = cut_lineage(texts.select("key", "data", "sample"))  # stays dealt by key, so the joins below move no texts
     found = cut_lineage(repeated_places(texts, string_places(length), buckets).toDF("key", "found"))
-    texts = cut_to_files(texts.join(found, "key", "left"))
-    leads = cut_lineage(repeated_places(texts.where("found IS NOT NULL"), stretches(length), buckets, leader=True).toDF("key", "leads"))
-    ends = cut_lineage(repeated_places(texts.join(leads, "key", "left"), open_places(length, prime), buckets).toDF("key", "ends"))
-    spans = texts.drop("sample").join(ends, "key", "left").where("found IS NOT NULL OR ends IS NOT NULL").select("key", "data", "found", "ends")
+    settled = texts.join(found, "key", "left")
+    leads = cut_lineage(repeated_places(settled.where("found IS NOT NULL"), stretches(length), buckets, leader=True).toDF("key", "leads"))
+    ends = cut_lineage(repeated_places(settled.join(leads, "key", "left"), open_places(length, prime), buckets).toDF("key", "ends"))
+    spans = settled.drop("sample").join(ends, "key", "left").where("found IS NOT NULL OR ends IS NOT NULL").select("key", "data", "found", "ends")
     spans = spans.mapInArrow(_kept(length), "key binary, spans array<struct<start long, stop long>>, kept_sha256 string")
     heads = rows.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.unhex(F.sha2("data", 256)).alias("key"))
     copies = heads.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n"), F.max("n_bytes").alias("size")).where("n > 1")
