@@ -319,6 +319,11 @@ def open_places(length: int, prime: int) -> Places:
     return run
 
 
+def chosen_places(length: int) -> Places:
+    """What a first, shorter comparison left over."""
+    return lambda data, known: (known["maybe"], length)
+
+
 def _kept(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -372,7 +377,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prime: int = PRIME) ->
     found = cut_lineage(repeated_places(texts, string_places(length), buckets).toDF("key", "found"))
     settled = texts.join(found, "key", "left")
     leads = cut_lineage(repeated_places(settled.where("found IS NOT NULL"), stretches(length), buckets, leader=True).toDF("key", "leads"))
-    ends = cut_lineage(repeated_places(settled.join(leads, "key", "left"), open_places(length, prime), buckets).toDF("key", "ends"))
+    maybe = cut_lineage(repeated_places(settled.join(leads, "key", "left"), open_places(length, prime), buckets, exact=False).toDF("key", "maybe"))
+    ends = cut_lineage(repeated_places(texts.join(maybe, "key"), chosen_places(length), buckets).toDF("key", "ends"))
     spans = settled.drop("sample").join(ends, "key", "left").where("found IS NOT NULL OR ends IS NOT NULL").select("key", "data", "found", "ends")
     spans = spans.mapInArrow(_kept(length), "key binary, spans array<struct<start long, stop long>>, kept_sha256 string")
     heads = rows.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.unhex(F.sha2("data", 256)).alias("key"))
