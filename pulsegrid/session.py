@@ -65,6 +65,17 @@ def cut_to_files(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_to_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Materialise ``df`` as a table in the warehouse, bucketed by ``key``: joins and groups by it read it without a shuffle.
+
+    Deal ``df`` by ``repartition(buckets, key)`` before, so that each task writes one bucket. The table stays until the
+    warehouse is cleared.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """For a table that many small jobs read: written once, cached, and with a short plan.
 
