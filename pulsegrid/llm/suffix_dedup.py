@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.common import slices, utf8
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_lineage, cut_to_buckets
 
 #: Bytes of a string that counts as repeated, and the prime that gives the cover: period p*p+p+1 with p+1 sample places.
 LENGTH, PRIME = 400, 11
@@ -373,7 +373,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prime: int = PRIME) ->
     sample = cut_lineage(sample.groupBy("key").agg(F.first("at").alias("sample")))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = data.mapInArrow(_once(length), "key binary, data binary").repartition(tasks, "key").join(sample, "key").dropDuplicates(["key"])
-    texts = cut_lineage(texts.select("key", "data", "sample"))  # stays dealt by key, so the joins below move no texts
+    texts = cut_to_buckets(texts.select("key", "data", "sample"), "key", tasks)  # the joins below move no texts
     found = cut_lineage(repeated_places(texts, string_places(length), buckets).toDF("key", "found"))
     settled = texts.join(found, "key", "left")
     leads = cut_lineage(repeated_places(settled.where("found IS NOT NULL"), stretches(length), buckets, leader=True).toDF("key", "leads"))
