@@ -103,7 +103,7 @@ def solve(m: np.ndarray, model: str, params: dict) -> tuple[np.ndarray, float]:
     return b, float(y_mean - b @ mean)
 
 
-def _descent(xx: np.ndarray, xy: np.ndarray, alpha: float, ratio: float, sweeps: int = 1000, least: float = 1e-5) -> np.ndarray:
+def _descent(xx: np.ndarray, xy: np.ndarray, alpha: float, ratio: float, sweeps: int = 200, least: float = 1e-5) -> np.ndarray:
     b, fit = np.zeros(len(xy)), np.zeros(len(xy))
     bound = least * max(1e-12, float(np.abs(xy).max(initial=0)))
     for _ in range(sweeps):
