@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.catalog.duck import sql
 from pulsegrid.catalog.evaluate import vectors
 from pulsegrid.catalog.features import _fleet_base
-from pulsegrid.operators import cluster as C, elastic as X, evaluate as E, features as FX, prepare as P, series as S
+from pulsegrid.operators import cluster as C, elastic as X, evaluate as E, features as FX, nearest as N, prepare as P, series as S
 from pulsegrid.plans import elastic as EP, features as FP
 from pulsegrid.session import settle
 from pulsegrid.sources import views as V
@@ -99,6 +99,12 @@ def _elastic_pairs(s, d):
     return X.query_distances(series, series.where(F.substring_index("ci_name", "-", -1).cast("long") % 20 == 0))
 
 
+def _elastic_nearest(s, d):
+    """The ten nearest series of the stated queries (one supplier in twenty) under nine distances."""
+    series = settle(S.prepare_series(V.supplier_weekly(s, d)))
+    return N.nearest_neighbours(series, series.where(F.substring_index("ci_name", "-", -1).cast("long") % 20 == 0))
+
+
 def _elastic_runs(s, d):
     return EP.compare_distances(settle(S.prepare_series(V.supplier_weekly(s, d))))[0]
 
@@ -122,6 +128,7 @@ QUERIES = {
     "subspace": _subspace,
     "run_sweep": _sweep,
     "elastic_pairs": _elastic_pairs,
+    "elastic_nearest": _elastic_nearest,
     "elastic_runs": _elastic_runs,
     "assign_medoids": _assign,
 }
