@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.catalog import cluster, evaluate, extract, features, forecast, prepare, sources, windows
+from pulsegrid.catalog import cluster, evaluate, extract, features, forecast, prepare, sources, storage, windows
 
-_MODULES = [sources, extract, windows, features, evaluate, prepare, cluster, forecast]
+_MODULES = [sources, storage, extract, windows, features, evaluate, prepare, cluster, forecast]
 
 
 def all_queries() -> dict:

@@ -24,7 +24,7 @@ def read_poller(spark: SparkSession, source: str) -> DataFrame:
 
 def read_monthly(spark: SparkSession, path_glob: str, fmt: str = "csv",
                  schema: T.StructType | None = None) -> DataFrame:
-    """Union of the monthly extracts; the month is the name after ``data_``.
+    """Union of the monthly extracts; the month is the name after ``data_``, of the file or of the folder it is a part of.
 
     One multi-path scan instead of one read per month. Files named
     ``data_complete*`` are results of an earlier run and never read back.
@@ -33,10 +33,10 @@ def read_monthly(spark: SparkSession, path_glob: str, fmt: str = "csv",
     if fmt == "csv":
         reader = reader.option("header", "true").option("enforceSchema", "false")
     df = reader.format(fmt).load(path_glob)
-    name = F.col("_metadata.file_name")
-    tagged = df.select(
-        "*", F.initcap(F.regexp_extract(name, r"data_([A-Za-z]+)", 1)).alias("event_month")
-    ).filter(F.col("event_month") != "Complete")
+    path = F.split("_metadata.file_path", "/")
+    file, folder = (F.regexp_extract(F.element_at(path, at), r"data_([A-Za-z]+)", 1) for at in (-1, -2))
+    tagged = df.select("*", F.initcap(F.when(file != "", file).otherwise(folder)).alias("event_month")).filter(
+        F.col("event_month") != "Complete")
     return normalise_columns(tagged, required=["ci_name", "event_value"])
 
 
