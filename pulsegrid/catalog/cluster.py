@@ -14,6 +14,8 @@ from pulsegrid.sources import views as V
 
 EPS, MIN_SAMPLES = 1.2, 8
 PARTS = 6
+#: Radii that are counted in one search.
+GRID = (0.9, 1.0, 1.1, 1.2, 1.3)
 
 
 def quadrants(s, d) -> DataFrame:
@@ -28,6 +30,12 @@ def quadrants(s, d) -> DataFrame:
     return v.select("item", rows.alias("e")).select("e.partition_id", "item", "e.label")
 
 
+def _silhouette_runs(s, d):
+    """Silhouettes of the six given partitions from one pass over the distances."""
+    labels = quadrants(s, d).select(F.concat(F.lit("part_"), "partition_id").alias("run_id"), "item", "label")
+    return E.silhouette_runs(vectors(s, d), labels).withColumn("silhouette", F.round("silhouette", 6))
+
+
 def _coassociation(s, d):
     return C.coassociation(quadrants(s, d)).withColumn("mean_share", F.round("mean_share", 6))
 
@@ -115,10 +123,12 @@ def _assign(s, d):
 
 QUERIES = {
     "coassociation": _coassociation,
+    "silhouette_runs": _silhouette_runs,
     "consensus_groups": _consensus_sizes,
     "consensus": _consensus,
     "dbscan_core": lambda s, d: C.neighbour_counts(vectors(s, d), EPS).withColumn(
         "is_core", (F.col("neighbours") >= MIN_SAMPLES).cast("int")),
+    "neighbour_grid": lambda s, d: C.neighbour_counts_grid(vectors(s, d), GRID),
     "dbscan": lambda s, d: C.dbscan(vectors(s, d), EPS, MIN_SAMPLES),
     "kmeans_restarts": lambda s, d: C.kmeans(vectors(s, d), (2, 5, 10)),
     "kmedoids": lambda s, d: C.kmedoids_vectors(vectors(s, d), (2, 3, 4)),
@@ -149,6 +159,16 @@ ORACLES = {
 reach(item, root) AS (SELECT item, item FROM lab UNION SELECT g.j, r.root FROM reach r JOIN ag g ON g.i = r.item AND g.share >= 5 / 6 - 1e-9)
 SELECT item, count(*) AS group_size FROM reach GROUP BY 1""",
     "dbscan_core": sql("", "SELECT item, neighbours, is_core FROM cnt", [_V, _NEAR]),
+    "neighbour_grid": sql("", f"""SELECT eps, a.item, count(*) AS neighbours
+  FROM (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in GRID)}]) AS eps), e a JOIN e b ON list_distance(a.vec, b.vec) <= eps OR a.item = b.item GROUP BY 1, 2""", [_V]),
+    "silhouette_runs": sql("", """SELECT run_id, round(avg(s), 6) AS silhouette FROM (
+  SELECT run_id, item, CASE WHEN n_own = 1 THEN 0 WHEN b = a THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM (
+    SELECT run_id, item, max(n) FILTER (other = label) AS n_own, max(CASE WHEN n > 1 THEN t / (n - 1) ELSE 0 END) FILTER (other = label) AS a,
+      min(t / n) FILTER (other <> label) AS b
+    FROM (SELECT x.run_id, x.item, x.label, y.label AS other, sum(list_distance(ex.vec, ey.vec)) AS t, count(*) AS n
+      FROM rl x JOIN rl y ON x.run_id = y.run_id JOIN e ex ON ex.item = x.item JOIN e ey ON ey.item = y.item GROUP BY 1, 2, 3, 4) GROUP BY 1, 2))
+GROUP BY 1""", [_V, _LABELS, "rl AS (" + " UNION ALL ".join(
+        f"SELECT 'part_{p}' AS run_id, CAST(item AS VARCHAR) AS item, l{p} AS label FROM lab" for p in range(PARTS)) + ")"]),
     "dbscan": "WITH RECURSIVE " + ",\n".join([_V, _NEAR]) + """,
 link AS MATERIALIZED (SELECT n.i, n.j, n.d FROM near n JOIN cnt a ON a.item = n.i AND a.is_core = 1 JOIN cnt b ON b.item = n.j AND b.is_core = 1),
 reach(item, root) AS (SELECT item, item FROM cnt WHERE is_core = 1 UNION SELECT l.j, r.root FROM reach r JOIN link l ON l.i = r.item),

@@ -68,7 +68,7 @@ def meet(df: DataFrame, key: str, kernel: Kernel, schema: str, coord: Column | N
     spread = placed.withColumn("_m", F.explode(F.concat(own, above, below))).select(*df.columns, "_m.*")
 
     kinds = {"string": object, "double": "float64", "long": "int64"}
-    columns = {name: kinds[kind] for name, kind in (part.split() for part in schema.split(","))}
+    columns = {name: kinds.get(kind, object) for name, kind in (part.split() for part in schema.split(","))}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy()

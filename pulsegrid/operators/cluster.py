@@ -307,20 +307,35 @@ def _first_coordinate():
 
 
 def neighbour_counts(df: DataFrame, eps: float, target: int = B.BLOCK_ROWS) -> DataFrame:
-    """Items within ``eps``, the item itself included; counts, not pairs, leave each block."""
+    """Items within ``eps``, the item itself included."""
+    return neighbour_counts_grid(df, (eps,), target).select("item", "neighbours")
+
+
+def neighbour_counts_grid(df: DataFrame, eps_list: tuple[float, ...], target: int = B.BLOCK_ROWS) -> DataFrame:
+    """``(eps, item, neighbours)``: items within each radius, the item itself included, from one search.
+
+    Blocks meet as the largest radius asks; each distance is compared with all radii, and counts, not pairs, leave a block.
+    """
+    radii = np.sort(np.unique(np.array(eps_list, float)))
+
     def kernel(left, right, same):
-        near = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"])) <= eps
+        d = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"]))
         if same:
-            np.fill_diagonal(near, True)
-            return pd.DataFrame({"item": left["item"].to_numpy(), "n": near.sum(axis=1)})
-        if not near.size:
+            np.fill_diagonal(d, 0.0)
+        if not d.size:
             return None
-        return pd.DataFrame({"item": np.concatenate([left["item"], right["item"]]),
-                             "n": np.concatenate([near.sum(axis=1), near.sum(axis=0)])})
+        near = [d <= r for r in radii]
+        counts = np.stack([n.sum(axis=1) for n in near], axis=1)
+        out = [pd.DataFrame({"item": left["item"].to_numpy(), "n": list(counts)})]
+        if not same:
+            out.append(pd.DataFrame({"item": right["item"].to_numpy(), "n": list(np.stack([n.sum(axis=0) for n in near], axis=1))}))
+        return pd.concat(out)
 
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
-    part = B.meet(slim, "item", kernel, "item string, n long", _first_coordinate(), eps, target)
-    return part.groupBy("item").agg(F.sum("n").alias("neighbours"))
+    part = B.meet(slim, "item", kernel, "item string, n array<bigint>", _first_coordinate(), float(radii[-1]), target)
+    sums = part.groupBy("item").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(len(radii))])
+    each = F.array(*[F.struct(F.lit(float(r)).alias("eps"), F.col(f"n{k}").alias("neighbours")) for k, r in enumerate(radii)])
+    return sums.select("item", F.explode(each).alias("e")).select("e.eps", "item", "e.neighbours")
 
 
 def threshold_forest(df: DataFrame, limit: float, metric: str = "euclidean", coord=None,
@@ -335,13 +350,13 @@ def threshold_forest(df: DataFrame, limit: float, metric: str = "euclidean", coo
     return B.meet(df, "item", kernel, "src string, dst string", coord, limit, target)
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_ROWS) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Density clusters: ``label`` names a cluster by its smallest core item, ``-1`` is noise.
 
-    Border items join the cluster of their nearest core item.
+    Border items join the cluster of their nearest core item. ``counts`` are the items' known neighbour counts, if any.
     """
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
-    counted = lookup_join(slim, neighbour_counts(df, eps, target), "item", "inner")
+    counted = slim.join(neighbour_counts(df, eps, target) if counts is None else counts, "item")
     marked = cut_lineage(counted.withColumn("is_core", (F.col("neighbours") >= min_samples).cast("int")))
     core = marked.filter("is_core = 1").select("item", "vec")
     groups = components(threshold_forest(core, eps, coord=_first_coordinate(), target=target))
@@ -373,9 +388,11 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_RO
 def dbscan_grid(df: DataFrame, eps_list: tuple[float, ...], mins: tuple[int, ...], share: float = 0.05) -> DataFrame:
     """Labelled runs of the grid with more than one cluster and no cluster below ``share`` of the largest."""
     kept = []
+    counted = cut_lineage(neighbour_counts_grid(df, eps_list))
     for eps in eps_list:
+        counts = counted.where(F.col("eps") == float(eps)).select("item", "neighbours")
         for m in mins:
-            labels = dbscan(df, eps, m).select("item", "label")
+            labels = dbscan(df, eps, m, counts=counts).select("item", "label")
             row = E.cluster_sizes(labels).first()
             if row and row["n_clusters"] > 1 and row["counts"][0] >= share * row["counts"][-1]:
                 kept.append(labels.withColumn("run_id", F.lit(f"DBSCAN_eps{eps}_ms{m}")))

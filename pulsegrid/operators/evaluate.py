@@ -119,6 +119,53 @@ def silhouette(df: DataFrame) -> DataFrame:
     return silhouette_items(df).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def silhouette_runs(vectors: DataFrame, labels: DataFrame, target: int = B.BLOCK_ROWS) -> DataFrame:
+    """``(run_id, silhouette)``: exact mean silhouettes of many labellings ``(run_id, item, label)`` of the same items.
+
+    The distances between two blocks are computed once and added up for the clusters of all runs; a block sends one array
+    for each item. A run with one label gets -1; items that a run leaves out do not count in it, and labels of items
+    without a vector are ignored.
+    """
+    known = labels.select("run_id", F.col("item").cast("string").alias("item"), F.col("label").cast("string").alias("label")).join(
+        vectors.select(F.col("item").cast("string").alias("item")), "item", "left_semi")
+    sizes = known.groupBy("run_id", "label").agg(F.count("*").alias("size"))
+    coded = sizes.withColumn("code", F.row_number().over(Window.partitionBy("run_id").orderBy("label")).cast("int") - 1)
+    # one row a run
+    runs = sorted((r["run_id"], r["n"]) for r in coded.groupBy("run_id").agg(F.count("*").alias("n")).collect())
+    if not runs:
+        return labels.sparkSession.createDataFrame([], "run_id string, silhouette double")
+    codes = known.join(coded.select("run_id", "label", "code"), ["run_id", "label"])
+    by_run = codes.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("run_id", "code"))).alias("m"))
+    own = F.array(*[F.coalesce(F.try_element_at("m", F.lit(run)), F.lit(-1)) for run, _ in runs])
+    slim = vectors.select(F.col("item").cast("string").alias("item"), "vec").join(by_run, "item").select("item", "vec", own.alias("codes"))
+    widths = [n for _, n in runs]
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"]))
+        if same:
+            np.fill_diagonal(d, 0.0)
+
+        def side(rows, cols, dist):
+            own = np.stack(cols["codes"].to_numpy())
+            total = np.hstack([dist @ (own[:, r, None] == np.arange(n)[None, :]).astype(float) for r, n in enumerate(widths)])
+            return pd.DataFrame({"item": rows["item"].to_numpy(), "totals": list(total)})
+
+        return pd.concat([side(left, right, d)] + ([] if same else [side(right, left, d.T)]))
+
+    part = B.meet(slim, "item", sums, "item string, totals array<double>", target=target)
+    added = part.groupBy("item").agg(vector_to_array(Summarizer.sum(array_to_vector("totals"))).alias("totals"))
+    starts = np.cumsum([0, *widths]).tolist()
+    pieces = F.array(*[F.struct(F.lit(run).alias("run_id"), F.slice("totals", at + 1, n).alias("totals"))
+                       for (run, n), at in zip(runs, starts)])
+    long = added.select("item", F.explode(pieces).alias("p")).select("item", "p.run_id", F.posexplode("p.totals").alias("other", "total"))
+    mine = codes.select("run_id", "item", F.col("code").alias("label"))
+    table = long.join(mine, ["run_id", "item"]).select("run_id", "item", "label", "other", "total")
+    items = _silhouette(table, coded.select("run_id", F.col("code").alias("label"), "size"), ["run_id"])
+    counts = coded.groupBy("run_id").agg(F.count("*").alias("n_labels"))
+    means = items.groupBy("run_id").agg(F.avg("silhouette").alias("mean"))
+    return means.join(counts, "run_id").select("run_id", F.when(F.col("n_labels") <= 1, -1.0).otherwise(F.col("mean")).alias("silhouette"))
+
+
 def silhouette_squared(df: DataFrame) -> DataFrame:
     """Mean silhouette under squared Euclidean distance, in time linear in the items; -1 for a single cluster.
 

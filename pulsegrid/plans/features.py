@@ -137,20 +137,18 @@ def sweep(representations: dict[str, DataFrame], ks: tuple[int, ...] = tuple(ran
 
 
 def score_assignments(data: dict[str, DataFrame], assignments: DataFrame) -> DataFrame:
-    """Scores of every run; a run with one label gets -1 everywhere."""
-    rows = []
-    for run_id, rep in sorted((r["run_id"], r["rep"]) for r in assignments.select("run_id", "rep").distinct().collect()):
+    """Scores of every run; a run with one label gets -1 everywhere. All runs of a representation are scored together."""
+    scored = []
+    for rep in sorted(r["rep"] for r in assignments.select("rep").distinct().collect()):
         vectors = data[rep].withColumn("item", F.col("item").cast("string"))
-        labels = assignments.filter(F.col("run_id") == run_id).select("item", "label")
-        joined = settle(vectors.join(labels, "item"))
-        sizes = E.cluster_sizes(labels).first()
-        sil = E.silhouette(joined).first()[0]
-        centre = E.centre_scores(joined).first()
-        rows.append((run_id, rep, sizes["n_clusters"] if sizes else 0, sil, centre["calinski_harabasz"], centre["davies_bouldin"],
-                     list(sizes["counts"]) if sizes else []))
-        joined.unpersist()
-    return assignments.sparkSession.createDataFrame(
-        rows, "run_id string, rep string, n_clusters int, silhouette double, calinski_harabasz double, davies_bouldin double, counts array<bigint>")
+        labels = assignments.filter(F.col("rep") == rep).select("run_id", "item", "label")
+        joined = labels.join(vectors.select("item", "vec"), "item")
+        scored.append(E.silhouette_runs(vectors, labels).join(E.centre_scores(joined, ["run_id"]), "run_id")
+                      .join(E.cluster_sizes(labels, ["run_id"]), "run_id", "left").withColumn("rep", F.lit(rep)))
+    none = F.array().cast("array<bigint>")
+    return settle(reduce(DataFrame.unionByName, scored).select(
+        "run_id", "rep", F.coalesce("n_clusters", F.lit(0)).cast("int").alias("n_clusters"), "silhouette", "calinski_harabasz",
+        "davies_bouldin", F.coalesce("counts", none).alias("counts")))
 
 
 def report(table: DataFrame, cols: list[str], labels: DataFrame) -> tuple[DataFrame, DataFrame]:

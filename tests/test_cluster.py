@@ -95,3 +95,33 @@ def test_balance_rule_of_the_grid(spark):
     df = blobs(spark, 30)
     runs = C.dbscan_grid(df, (0.01, 1.5), (4,))
     assert {r["run_id"] for r in runs.select("run_id").distinct().collect()} == {"DBSCAN_eps1.5_ms4"}
+
+
+@pytest.mark.parametrize("target", [7, 1000])
+def test_silhouettes_of_many_runs_at_once(spark, target):
+    df = blobs(spark, 12)
+    place = F.split("item", "_")[1].cast("int")
+    runs = {"truth": F.col("truth"), "odd": place % 2, "one": F.lit(0), "alone": F.when(F.col("item") == "i0_3", "x").otherwise("y"),
+            "part": F.when(place < 7, F.col("truth"))}
+    labels = None
+    for name, label in runs.items():
+        one = df.select(F.lit(name).alias("run_id"), "item", label.cast("string").alias("label")).where(F.col("label").isNotNull())
+        labels = one if labels is None else labels.unionByName(one)
+    stray = spark.createDataFrame([("truth", "no vector", "9")], "run_id string, item string, label string")
+    got = {r["run_id"]: r["silhouette"] for r in E.silhouette_runs(df.select("item", "vec"), labels.unionByName(stray), target).collect()}
+    assert set(got) == set(runs) and got["one"] == -1.0
+    for name in ("truth", "odd", "alone", "part"):
+        alone = df.select("item", "vec").join(labels.where(F.col("run_id") == name), "item").drop("run_id")
+        assert got[name] == pytest.approx(E.silhouette(alone).first()[0])
+    assert E.silhouette_runs(df, labels.limit(0)).count() == 0
+
+
+def test_counts_of_all_radii_are_those_of_each(spark):
+    df = blobs(spark, 15)
+    grid = C.neighbour_counts_grid(df, (3.0, 0.4, 0.4, 11.0), target=6).collect()
+    assert len(grid) == 3 * 45
+    x = np.array([r["vec"] for r in df.orderBy("item").collect()])
+    names = sorted({r["item"] for r in grid})
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for r in grid:
+        assert r["neighbours"] == (d[names.index(r["item"])] <= r["eps"]).sum()
