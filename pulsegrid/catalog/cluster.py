@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.catalog.duck import sql
 from pulsegrid.catalog.evaluate import vectors
 from pulsegrid.catalog.features import _fleet_base
-from pulsegrid.operators import cluster as C, elastic as X, evaluate as E, features as FX, nearest as N, prepare as P, series as S
+from pulsegrid.operators import cluster as C, elastic as X, evaluate as E, features as FX, linkage as LK, nearest as N, prepare as P, series as S
 from pulsegrid.plans import elastic as EP, features as FP
 from pulsegrid.session import settle
 from pulsegrid.sources import views as V
@@ -51,6 +53,14 @@ def _consensus(s, d):
     return C.number_labels(C.consensus(labels))
 
 
+def _linkage(s, d):
+    """Single-linkage groups at several heights, all cut from one tree."""
+    data = settle(vectors(s, d))
+    tree = settle(LK.spanning_tree(data))
+    cuts = [LK.cut_at_height(data, tree, h).withColumn("height", F.lit(h)) for h in GRID]
+    return reduce(DataFrame.unionByName, cuts).groupBy("height", "label").agg(F.count("*").alias("group_size"))
+
+
 def _reduced(s, d):
     """Embeddings in their first eight principal directions."""
     return P.pca_scores(vectors(s, d), k=8).select("item", F.col("scores").alias("vec"))
@@ -129,6 +139,7 @@ QUERIES = {
     "dbscan_core": lambda s, d: C.neighbour_counts(vectors(s, d), EPS).withColumn(
         "is_core", (F.col("neighbours") >= MIN_SAMPLES).cast("int")),
     "neighbour_grid": lambda s, d: C.neighbour_counts_grid(vectors(s, d), GRID),
+    "linkage_cuts": _linkage,
     "dbscan": lambda s, d: C.dbscan(vectors(s, d), EPS, MIN_SAMPLES),
     "kmeans_restarts": lambda s, d: C.kmeans(vectors(s, d), (2, 5, 10)),
     "kmedoids": lambda s, d: C.kmedoids_vectors(vectors(s, d), (2, 3, 4)),
@@ -169,6 +180,11 @@ SELECT item, count(*) AS group_size FROM reach GROUP BY 1""",
       FROM rl x JOIN rl y ON x.run_id = y.run_id JOIN e ex ON ex.item = x.item JOIN e ey ON ey.item = y.item GROUP BY 1, 2, 3, 4) GROUP BY 1, 2))
 GROUP BY 1""", [_V, _LABELS, "rl AS (" + " UNION ALL ".join(
         f"SELECT 'part_{p}' AS run_id, CAST(item AS VARCHAR) AS item, l{p} AS label FROM lab" for p in range(PARTS)) + ")"]),
+    "linkage_cuts": "WITH RECURSIVE " + _V + f""",
+link AS MATERIALIZED (SELECT a.item AS i, b.item AS j, list_distance(a.vec, b.vec) AS d FROM e a JOIN e b ON list_distance(a.vec, b.vec) <= {max(GRID)} AND a.item <> b.item),
+reach(height, item, root) AS (SELECT h, item, item FROM e, (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in GRID)}]) AS h)
+  UNION SELECT r.height, l.j, r.root FROM reach r JOIN link l ON l.i = r.item AND l.d <= r.height)
+SELECT height, label, count(*) AS group_size FROM (SELECT height, item, min(root) AS label FROM reach GROUP BY 1, 2) GROUP BY 1, 2""",
     "dbscan": "WITH RECURSIVE " + ",\n".join([_V, _NEAR]) + """,
 link AS MATERIALIZED (SELECT n.i, n.j, n.d FROM near n JOIN cnt a ON a.item = n.i AND a.is_core = 1 JOIN cnt b ON b.item = n.j AND b.is_core = 1),
 reach(item, root) AS (SELECT item, item FROM cnt WHERE is_core = 1 UNION SELECT l.j, r.root FROM reach r JOIN link l ON l.i = r.item),
