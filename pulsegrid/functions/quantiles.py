@@ -3,15 +3,17 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 buffer. That is fine for an item's series, which the calendar bounds, but not
 for a whole table. Here each wanted order statistic is bracketed by approximate
-quantiles and the bracket is narrowed, one scan for all columns per step, until
+quantiles and the bracket is narrowed, two scans for all columns per step, until
 one value is left or the open brackets of all columns together hold few values.
+Values that equal an end of a bracket are counted apart, so a value that occurs
+any number of times is found as soon as it is cut at.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Values of all columns together that one row may hold.
 IN_MEMORY_VALUES = 2_000
@@ -38,6 +40,24 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         kept.unpersist()
 
 
+def _between_cuts(df: DataFrame, x: dict[str, Column], cuts: dict[str, set[float]]) -> dict[str, list[tuple[int, int, float, float]]]:
+    """``(place, values, smallest, largest)`` of each column in order; odd places hold the values equal to a cut.
+
+    Cuts are values of the column, so an open place always has fewer distinct values than the bracket it was cut from.
+    """
+    def place(c: str) -> Column:
+        marks = sorted(v for v in cuts[c] if v == v) + [math.nan] * any(v != v for v in cuts[c])
+        return sum(((x[c] > v).cast("int") + (x[c] >= v).cast("int") for v in marks), F.lit(0))
+
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x[c].alias("x"), place(c).alias("place")) for i, c in enumerate(x)]))
+    rows = df.select(each.alias("e")).select("e.*").where("x IS NOT NULL").groupBy("i", "place").agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "place").collect()
+    out: dict[str, list] = {c: [] for c in x}
+    for r in rows:
+        out[list(x)[r["i"]]].append((r["place"], r["n"], r["lo"], r["hi"]))
+    return out
+
+
 def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int) -> dict[str, list[float | None]]:
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     head = df.agg(*[f(x[c]).alias(f"{k}{i}") for i, c in enumerate(cols)
@@ -75,36 +95,27 @@ def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int
                 del open_[(c, r)]
         if not open_:
             break
-        keys = list(open_)
-        cuts = df.agg(*[
-            F.percentile_approx(
-                F.when(x[c].between(lo, hi), x[c]),
-                [max(0.0, min(1.0, (r - below) / inside + d)) for d in (-2 / _ACCURACY, 2 / _ACCURACY)],
-                _ACCURACY,
-            ).alias(f"q{i}")
-            for i, ((c, r), (lo, hi, below, inside)) in enumerate(open_.items())
+        wanted: dict[tuple[str, float, float], set[float]] = {}
+        for (c, r), (lo, hi, below, inside) in open_.items():
+            wanted.setdefault((c, lo, hi), set()).update(
+                max(0.0, min(1.0, (r - below) / inside + d)) for d in (-2 / _ACCURACY, 2 / _ACCURACY))
+        row = df.agg(*[
+            F.percentile_approx(F.when(x[c].between(lo, hi), x[c]), sorted(at), _ACCURACY).alias(f"q{i}")
+            for i, ((c, lo, hi), at) in enumerate(wanted.items())
         ]).first()
-        parts = []
-        for i, (c, _) in enumerate(keys):
-            a, b = cuts[f"q{i}"]
-            lo, hi = open_[keys[i]][:2]
-            inside = x[c].between(lo, hi)
-            parts += [
-                F.count_if(inside & (x[c] < a)).alias(f"a{i}"),
-                F.count_if(inside & (x[c] > b)).alias(f"b{i}"),
-                F.max(F.when(inside & (x[c] < a), x[c])).alias(f"am{i}"),
-                F.min(F.when(inside & (x[c] > b), x[c])).alias(f"bm{i}"),
-            ]
-        row = df.agg(*parts).first()
-        for i, (c, r) in enumerate(keys):
-            lo, hi, below, inside = open_[(c, r)]
-            a, b = cuts[f"q{i}"]
-            na, nb = row[f"a{i}"], row[f"b{i}"]
-            if r < below + na:
-                new = [lo, row[f"am{i}"], below, na]
-            elif r >= below + inside - nb:
-                new = [row[f"bm{i}"], hi, below + inside - nb, nb]
+        cuts: dict[str, set[float]] = {}
+        for i, (c, _, _) in enumerate(wanted):
+            cuts.setdefault(c, set()).update(row[f"q{i}"])
+        parts = _between_cuts(df, {c: x[c] for c in cuts}, cuts)
+        for c, r in list(open_):
+            below = 0
+            for place, n, lo, hi in parts[c]:
+                if r < below + n:
+                    break
+                below += n
+            if place % 2:  # a cut itself, however often it occurs
+                found[c][r] = lo
+                del open_[(c, r)]
             else:
-                new = [a, b, below + na, inside - na - nb]
-            open_[(c, r)] = new
+                open_[(c, r)] = [lo, hi, below, n]
     return {c: [_interpolate(found[c], p, size[c]) for p in probs] for c in cols}

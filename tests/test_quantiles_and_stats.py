@@ -21,6 +21,14 @@ def test_exact_quantiles(spark, limit):
         assert np.allclose(got[c], pdf[c].quantile(probs))
 
 
+def test_exact_quantiles_of_two_repeated_values(spark):
+    """More copies of two neighbouring values than are held in memory: a bracket between them cannot be halved."""
+    v = F.when(F.col("id") < 500, 1.0).otherwise(2.0)
+    df = spark.range(1000).select(v.alias("a"), F.when(F.col("id") % 4 > 0, v).alias("b"), (F.col("id") % 3).alias("c"))
+    got = exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75], in_memory=20)
+    assert got == {"a": [1.0, 1.5, 2.0], "b": [1.0, 1.5, 2.0], "c": [0.0, 1.0, 2.0]}
+
+
 def test_exact_quantiles_empty(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
