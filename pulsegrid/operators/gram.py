@@ -53,8 +53,9 @@ def gram_sums(df: DataFrame, features: Sequence[str], target: str = TARGET) -> D
                                                "pos": np.tile(np.arange(n, dtype=np.int32), len(held)), "total": total})
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = np.column_stack([np.ones(batch.num_rows), *cols[2:]])
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            numbers = batch.columns[2].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width - 1)
+            rows = np.column_stack([np.ones(batch.num_rows), numbers])
             order = np.lexsort((cols[1], cols[0]))
             keys = np.column_stack([cols[0], cols[1]])[order]
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else [0]
@@ -67,9 +68,10 @@ def gram_sums(df: DataFrame, features: Sequence[str], target: str = TARGET) -> D
                 held = {}
         yield passed_on()
 
-    numbers = [F.col(f"`{c}`").cast("double") for c in (*features, target)]
-    kept = df.select(F.col("cluster").cast("long").alias("cluster"), F.col("slice").cast("int").alias("slice"), *[v.alias(f"v{k}") for k, v in enumerate(numbers)])
-    kept = kept.where("cluster IS NOT NULL").dropna()
+    # one array: a filter on many columns that are renamed one by one would be restated for every subset of the names
+    numbers = F.array(*[F.col(f"`{c}`").cast("double") for c in (*features, target)])
+    kept = df.select(F.col("cluster").cast("long").alias("cluster"), F.col("slice").cast("int").alias("slice"), numbers.alias("numbers"))
+    kept = kept.where("cluster IS NOT NULL AND slice IS NOT NULL").where(~F.exists("numbers", lambda v: v.isNull() | F.isnan(v)))
     partial = kept.mapInArrow(run, "cluster long, slice int, pos int, total double")
     return partial.groupBy("cluster", "slice", "pos").agg(F.sum("total").alias("total"))
 

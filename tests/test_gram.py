@@ -80,6 +80,19 @@ def test_constant_and_dependent_features_and_predictions(spark):
             assert np.isclose(np.sqrt(((own.y_pred - own.event_value) ** 2).mean()), r["test_rmse"], rtol=1e-6)
 
 
+def test_many_features_and_predictions(spark):
+    """Filters above the sums must not be planned for every subset of the features."""
+    rng = np.random.default_rng(4)
+    frame = data(n=200)
+    names = [f"x{k}" for k in range(30)]
+    frame[names] = rng.normal(size=(len(frame), 30))
+    frame.loc[frame.index[:3], "x7"] = np.nan
+    rows = spark.createDataFrame(frame)
+    fits = G.linear_models(rows, names, ("linear", "ridge"), trials=2)
+    assert {r["cluster"]: r["n_train"] + r["n_test"] for r in fits.collect()} == frame.dropna(subset=names).groupby("cluster").size().to_dict()
+    assert G.predict(rows.where("is_test = 1"), fits, names).count() == int(frame.is_test.sum())
+
+
 def test_small_and_empty_tables(spark):
     rows = spark.createDataFrame(data(n=60).head(1))
     assert G.linear_models(rows, FEATURES).count() == 0
