@@ -319,20 +319,26 @@ def neighbour_counts_grid(df: DataFrame, eps_list: tuple[float, ...], target: in
     radii = np.sort(np.unique(np.array(eps_list, float)))
 
     def kernel(left, right, same):
-        d = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"]))
-        if same:
-            np.fill_diagonal(d, 0.0)
-        if not d.size:
+        x, y = B.stack(left["vec"]), B.stack(right["vec"])
+        if not len(x) or not len(y):
             return None
-        near = [d <= r for r in radii]
-        counts = np.stack([n.sum(axis=1) for n in near], axis=1)
-        out = [pd.DataFrame({"item": left["item"].to_numpy(), "n": list(counts)})]
+        mine, theirs = np.zeros((len(x), len(radii)), np.int64), np.zeros((len(y), len(radii)), np.int64)
+        for at in B.strips(len(x), len(y)):
+            d = B.euclidean(x[at], y)
+            if same:
+                d[np.arange(len(d)), np.arange(at.start, at.stop)] = 0.0
+            for k, r in enumerate(radii):
+                near = d <= r
+                mine[at, k] = near.sum(axis=1)
+                if not same:
+                    theirs[:, k] += near.sum(axis=0)
+        out = [pd.DataFrame({"item": left["item"].to_numpy(), "n": list(mine)})]
         if not same:
-            out.append(pd.DataFrame({"item": right["item"].to_numpy(), "n": list(np.stack([n.sum(axis=0) for n in near], axis=1))}))
+            out.append(pd.DataFrame({"item": right["item"].to_numpy(), "n": list(theirs)}))
         return pd.concat(out)
 
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
-    part = B.meet(slim, "item", kernel, "item string, n array<bigint>", _first_coordinate(), float(radii[-1]), target)
+    part = B.meet(slim, "item", kernel, "item string, n array<bigint>", _first_coordinate(), float(radii[-1]), target, in_strips=True)
     sums = part.groupBy("item").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(len(radii))])
     each = F.array(*[F.struct(F.lit(float(r)).alias("eps"), F.col(f"n{k}").alias("neighbours")) for k, r in enumerate(radii)])
     return sums.select("item", F.explode(each).alias("e")).select("e.eps", "item", "e.neighbours")

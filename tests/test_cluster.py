@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import blocks as B
 from pulsegrid.operators import cluster as C, evaluate as E
 from pulsegrid.operators.graph import components
 
@@ -38,6 +40,31 @@ def test_starting_centres_come_from_all_rows(spark):
     assert all(np.allclose(starts[k], again[k]) for k in starts)
 
 
+def test_rows_go_out_once_for_each_of_few_blocks(spark):
+    """Kernels that work in strips get blocks that grow with the table, so a row's copies do not."""
+    df = blobs(spark, 400).select("item", "vec")
+
+    def seen(left, right, same):
+        both = left if same else pd.concat([left, right])
+        return pd.DataFrame({"item": both["item"], "n": 1})
+
+    for coord in (None, F.col("vec")[0]):
+        copies = B.meet(df, "item", seen, "item string, n long", coord, 100.0, target=5, in_strips=True).groupBy("item").count()
+        assert copies.count() == 1200 and copies.agg(F.max("count")).first()[0] <= 2 * B.LEAST_BLOCKS
+
+
+def test_strips_add_up(monkeypatch):
+    monkeypatch.setattr(B, "STRIP_CELLS", 40)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(23, 4)), rng.normal(size=(17, 4))
+    a, b = np.eye(3)[rng.integers(0, 3, 23)], np.eye(2)[rng.integers(0, 2, 17)]
+    left, right = (pd.DataFrame({"vec": list(v)}) for v in (x, y))
+    d, own = (np.sqrt(((x[:, None] - v[None]) ** 2).sum(-1)) for v in (y, x))
+    near, far = E._distance_sums(left, right, False, a, b)
+    assert np.allclose(near, d @ b) and np.allclose(far, d.T @ a)
+    assert np.allclose(E._distance_sums(left, left, True, a, a)[0], own @ a)
+
+
 @pytest.mark.parametrize("target", [7, 50, 1000])
 def test_blocks_do_not_change_results(spark, target):
     df = blobs(spark, 40).persist()
