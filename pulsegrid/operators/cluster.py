@@ -348,12 +348,12 @@ def threshold_forest(df: DataFrame, limit: float, metric: str = "euclidean", coo
                      target: int = B.BLOCK_ROWS) -> DataFrame:
     """Edges that connect items no further apart than ``limit``: one spanning forest per two blocks."""
     def kernel(left, right, same):
-        adj = B.METRICS[metric](B.stack(left["vec"]), B.stack(right["vec"])) <= limit + 1e-12
-        if not adj.size:
+        x, y = B.stack(left["vec"]), B.stack(right["vec"])
+        if not len(x) or not len(y):
             return None
-        return B.spanning_edges(adj, left["item"].to_numpy(), right["item"].to_numpy(), same)
+        return B.spanning_edges(lambda at: B.METRICS[metric](x[at], y) <= limit + 1e-12, left["item"].to_numpy(), right["item"].to_numpy(), same)
 
-    return B.meet(df, "item", kernel, "src string, dst string", coord, limit, target)
+    return B.meet(df, "item", kernel, "src string, dst string", coord, limit, target, in_strips=True)
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_ROWS, counts: DataFrame | None = None) -> DataFrame:
@@ -370,21 +370,20 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, target: int = B.BLOCK_RO
         "item", F.coalesce("component", "item").alias("label"))
 
     def nearest_core(left, right, same):
-        x, y = B.stack(left["vec"]), B.stack(right["vec"])
-        d = B.euclidean(x, y)
         out = []
-        for rows, cols, dist in ((left, right, d),) if same else ((left, right, d), (right, left, d.T)):
-            lone, cores = np.flatnonzero(rows["is_core"] == 0), np.flatnonzero(cols["is_core"] == 1)
-            if lone.size and cores.size:
-                sub = dist[np.ix_(lone, cores)]
-                at = sub.argmin(axis=1)
-                out.append(pd.DataFrame({"item": rows["item"].to_numpy()[lone], "core": cols["item"].to_numpy()[cores[at]],
-                                         "d": sub[np.arange(len(lone)), at]}))
-        found = pd.concat(out) if out else None
-        return None if found is None else found[found["d"] <= eps]
+        for rows, cols in ((left, right),) if same else ((left, right), (right, left)):
+            rows, cols = rows[rows["is_core"] == 0], cols[cols["is_core"] == 1].sort_values("item")
+            x, y = B.stack(rows["vec"]), B.stack(cols["vec"])
+            for at in B.strips(len(x), len(y)) if len(y) else ():
+                d = B.euclidean(x[at], y)
+                k = d.argmin(axis=1)
+                d = d[np.arange(len(d)), k]
+                hit = np.flatnonzero(d <= eps)
+                out.append(pd.DataFrame({"item": rows["item"].to_numpy()[at][hit], "core": cols["item"].to_numpy()[k[hit]], "d": d[hit]}))
+        return pd.concat(out) if out else None
 
     near = B.meet(marked.select("item", "vec", "is_core"), "item", nearest_core, "item string, core string, d double",
-                  _first_coordinate(), eps, target)
+                  _first_coordinate(), eps, target, in_strips=True)
     border = near.groupBy("item").agg(F.min_by("core", F.struct("d", "core")).alias("core"))
     border = border.join(named.select(F.col("item").alias("core"), "label"), "core").select("item", "label")
     labels = named.unionByName(border)

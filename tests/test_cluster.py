@@ -152,3 +152,26 @@ def test_counts_of_all_radii_are_those_of_each(spark):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     for r in grid:
         assert r["neighbours"] == (d[names.index(r["item"])] <= r["eps"]).sum()
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_edges_within_strips_join_what_all_pairs_join(monkeypatch, same):
+    monkeypatch.setattr(B, "STRIP_CELLS", 60)
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 10, (40, 2))
+    y = x if same else rng.uniform(0, 10, (30, 2))
+    left = np.array([f"l{i:02d}" for i in rng.permutation(len(x))], object)
+    right = left if same else np.array([f"k{i:02d}" for i in rng.permutation(len(y))], object)
+    near = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)) <= 1.3
+    got = B.spanning_edges(lambda at: near[at], left, right, same)
+    group = {n: n for n in [*left, *right]}
+    for _ in group:
+        for i, j in zip(*np.nonzero(near)):
+            group[left[i]] = group[right[j]] = min(group[left[i]], group[right[j]])
+    assert dict(zip(got["src"], got["dst"])) == {n: g for n, g in group.items() if n != g} and len(got) == got["src"].nunique()
+
+
+def test_linked_rows_meet_in_few_blocks(spark):
+    """A row gives an edge for each block it meets; their number does not grow with the rows."""
+    edges = C.threshold_forest(blobs(spark, 150).select("item", "vec"), 100.0, coord=F.col("vec")[0], target=3)
+    assert edges.groupBy("src").count().agg(F.max("count")).first()[0] <= B.LEAST_BLOCKS
