@@ -43,6 +43,44 @@ def _block_tree(d: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.n
     return src, dst, dist
 
 
+def _forest(src: np.ndarray, dst: np.ndarray, dist: np.ndarray, size: int) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest of ``size`` rows, found in Boruvka rounds."""
+    edge = np.argsort(dist, kind="stable")  # a total order, so that the shortest edges of all groups close no cycle
+    label, kept = np.arange(size), []
+    while True:
+        edge = edge[label[src[edge]] != label[dst[edge]]]
+        if not edge.size:
+            return np.concatenate([np.empty(0, int), *kept])
+        first = np.full(size, edge.size)
+        for end in (src, dst):
+            np.minimum.at(first, label[end[edge]], np.arange(edge.size))
+        kept.append(edge[np.unique(first[first < edge.size])])
+        label = B.joined(label, src[kept[-1]], dst[kept[-1]])
+
+
+def _meeting_tree(x: np.ndarray, y: np.ndarray, same: bool, piece: int = B.BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree over the distances of two blocks: pieces give their trees, and the edges held are cut to one tree
+    whenever they are many times the rows."""
+    size, shift = (len(x), 0) if same else (len(x) + len(y), len(x))
+    held, more, n = [np.empty(0, int), np.empty(0, int), np.empty(0)], [], 0
+
+    def thinned():
+        rows = [np.concatenate([held[k], *[m[k] for m in more]]) for k in range(3)]
+        at = _forest(*rows, size)
+        return [v[at] for v in rows]
+
+    for i in range(0, len(x), piece):
+        for j in range(i if same else 0, len(y), piece):
+            d = B.euclidean(x[i:i + piece], y[j:j + piece])
+            src, dst, dist = _block_tree(d, same and i == j)
+            place = np.concatenate([np.arange(i, i + len(d)), shift + np.arange(j, j + d.shape[1])])
+            more.append((place[src], place[dst], dist))
+            n += len(dist)
+            if n > 16 * size:
+                held, more, n = thinned(), [], 0
+    return tuple(thinned())
+
+
 def spanning_tree(df: DataFrame, target: int = B.BLOCK_ROWS) -> DataFrame:
     """``(src, dst, height)``: the merges of single linkage over rows ``(item, vec)``, one fewer than items.
 
@@ -50,16 +88,16 @@ def spanning_tree(df: DataFrame, target: int = B.BLOCK_ROWS) -> DataFrame:
     height are the same. No item or one gives no rows. The rounds grow with the logarithm of the items.
     """
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame | None:
-        d = B.euclidean(B.stack(left["vec"]), B.stack(right["vec"]))
-        if not d.size:
+        x, y = B.stack(left["vec"]), B.stack(right["vec"])
+        if not len(x) or not len(y):
             return None
-        src, dst, dist = _block_tree(d, same)
+        src, dst, dist = _meeting_tree(x, y, same)
         names = left["item"].to_numpy() if same else np.concatenate([left["item"].to_numpy(), right["item"].to_numpy()])
         return pd.DataFrame({"src": names[src], "dst": names[dst], "height": dist})
 
     slim = df.select(F.col("item").cast("string").alias("item"), "vec")
     edge = F.struct("height", "src", "dst")  # a total order, so that the shortest edges of all components close no cycle
-    rows = B.meet(slim, "item", kernel, "src string, dst string, height double", target=target).select(
+    rows = B.meet(slim, "item", kernel, "src string, dst string, height double", target=target, in_strips=True).select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "height")
     live = cut_lineage(rows.select(F.col("src").alias("a"), F.col("dst").alias("b"), edge.alias("edge")))
     tree = None

@@ -49,3 +49,16 @@ def test_no_item_or_one(spark):
     df = spark.createDataFrame([("a", [1.0])], "item string, vec array<double>")
     assert K.spanning_tree(df).count() == 0 and K.spanning_tree(df.limit(0)).count() == 0
     assert [tuple(r) for r in K.cut_at_height(df, K.spanning_tree(df), 1.0).collect()] == [("a", "a")]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_pieces_of_two_blocks_give_the_tree_of_all_distances(same):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(70, 3))
+    y = x if same else rng.normal(size=(53, 3))
+    whole = K._block_tree(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), same)[2]
+    src, dst, dist = K._meeting_tree(x, y, same, piece=4)
+    both = x if same else np.vstack([x, y])
+    assert np.allclose(np.sort(dist), np.sort(whole))
+    assert np.allclose(dist, np.sqrt(((both[src] - both[dst]) ** 2).sum(-1)), atol=1e-6)
+    assert same or ((src < 70) != (dst < 70)).all()
