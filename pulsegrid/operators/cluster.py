@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions import blocks as B
-from pulsegrid.functions.joins import lookup_join
+from pulsegrid.functions.joins import lookup_join, spread_work
 from pulsegrid.operators import elastic as X, evaluate as E
 from pulsegrid.operators.graph import components
 from pulsegrid.session import cut_lineage
@@ -125,7 +126,8 @@ def kmeans_restarts(df: DataFrame, ks: tuple[int, ...], restarts: int = 20, seed
     All starts of all ``k`` still moving advance in the same scan of a kept slim table: each task sends
     one partial sum per centre, so a scan's traffic does not depend on the rows.
     """
-    kept = df.select("item", F.col("vec").cast("array<double>").alias("vec")).persist()
+    # a small file is one task, however many rows it has
+    kept = spread_work(df.select("item", F.col("vec").cast("array<double>").alias("vec")), "item").persist()
     try:
         return _moved(kept, ks, restarts, seed, tol)
     finally:
@@ -142,28 +144,30 @@ def _moved(df: DataFrame, ks: tuple[int, ...], restarts: int, seed: int, tol: fl
         live = sorted(moving)
         shared = spark.sparkContext.broadcast([runs[key] for key in live])
 
-        def partial(batches):
-            acc: dict[tuple[int, int], list] = {}
-            for pdf in batches:
-                x = B.stack(pdf["vec"])
-                if not len(x):
-                    continue
-                for run, centres in enumerate(shared.value):
-                    at, d = _nearest(x, centres)
-                    n = np.bincount(at, minlength=len(centres))
+        cuts = np.cumsum([0, *[len(runs[key]) for key in live]])
+
+        def partial(batches, cuts=cuts, shared=shared):
+            centres = np.concatenate(shared.value)
+            n, sq, total = np.zeros(len(centres), int), np.zeros(len(centres)), np.zeros(centres.shape)
+            for batch in batches:
+                rows = B.matrix(batch.column("vec"))
+                for piece in B.strips(len(rows), len(centres)):
+                    x = rows[piece]
+                    d = B.euclidean(x, centres)
                     hot = np.zeros((len(centres), len(x)))
-                    hot[at, np.arange(len(x))] = 1.0
-                    total, sq = hot @ x, np.bincount(at, weights=d * d, minlength=len(centres))
-                    for c in np.flatnonzero(n):
-                        slot = acc.setdefault((run, int(c)), [0, 0.0, 0.0])
-                        slot[0] += int(n[c])
-                        slot[1] += float(sq[c])
-                        slot[2] = slot[2] + total[c]
-            yield pd.DataFrame(
-                [(run, c, v[0], v[1], list(v[2])) for (run, c), v in acc.items()],
-                columns=["run", "c", "n", "sq", "total"])
-
-        parts = slim.mapInPandas(partial, "run int, c int, n long, sq double, total array<double>")
+                    for a, b in zip(cuts, cuts[1:]):
+                        at = a + d[:, a:b].argmin(axis=1)
+                        hot[at, np.arange(len(x))] = 1.0
+                        n += np.bincount(at, minlength=len(n))
+                        sq += np.bincount(at, weights=d[np.arange(len(x)), at] ** 2, minlength=len(n))
+                    total += hot @ x
+            used = np.flatnonzero(n)
+            run = np.searchsorted(cuts, used, side="right") - 1
+            yield pa.RecordBatch.from_pydict({
+                "run": pa.array(run, pa.int32()), "c": pa.array(used - cuts[run], pa.int32()), "n": n[used], "sq": sq[used],
+                "total": pa.array(list(total[used]), pa.list_(pa.float64()))})
+
+        parts = slim.mapInArrow(partial, "run int, c int, n long, sq double, total array<double>")
         sums = parts.groupBy("run", "c").agg(
             F.sum("n").alias("n"), F.sum("sq").alias("sq"),
             vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total")).collect()

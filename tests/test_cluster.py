@@ -175,3 +175,15 @@ def test_linked_rows_meet_in_few_blocks(spark):
     """A row gives an edge for each block it meets; their number does not grow with the rows."""
     edges = C.threshold_forest(blobs(spark, 150).select("item", "vec"), 100.0, coord=F.col("vec")[0], target=3)
     assert edges.groupBy("src").count().agg(F.max("count")).first()[0] <= B.LEAST_BLOCKS
+
+
+def test_rows_of_one_file_are_dealt_to_all_tasks(spark, monkeypatch):
+    found = []
+
+    def parts(df, *_):
+        found.append(df.groupBy(F.spark_partition_id()).count().count())
+        return {}
+
+    monkeypatch.setattr(C, "_moved", parts)
+    C.kmeans_restarts(blobs(spark, 40).coalesce(1), (2,), 1)
+    assert found[0] >= 8
