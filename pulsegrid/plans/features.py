@@ -64,10 +64,8 @@ def best_kmeans(vectors: DataFrame, ks: tuple[int, ...], restarts: int = 20) ->
     """Highest silhouette over ``ks``."""
     data = settle(vectors)
     labels = settle(C.kmeans(data, ks, restarts))
-    found = []
-    for k in ks:
-        one = labels.filter(F.col("k") == k).select("item", "label")
-        found.append((E.silhouette(data.join(one, "item")).first()[0], k))
+    scores = E.silhouette_runs(data, labels.select(F.col("k").cast("string").alias("run_id"), "item", "label"))
+    found = [(r["silhouette"], int(r["run_id"])) for r in scores.collect()]
     score, k = max(found, key=lambda t: (t[0], -t[1]))
     return score, k, labels.filter(F.col("k") == k).select("item", "label")
 
