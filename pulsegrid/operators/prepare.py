@@ -363,8 +363,8 @@ def power_lambdas(df: DataFrame, cols: list[str], tol: float = 1e-4, points: int
     try:
         while brackets:
             grid = {c: np.linspace(lo, hi, points) for c, (lo, hi) in brackets.items()}
-            table = F.create_map(*[v for c, g in grid.items() for v in (F.lit(c), F.array(*[F.lit(float(z)) for z in g]))])
-            tried = long.withColumn("lam", F.try_element_at(table, F.col("feature"))).where("lam IS NOT NULL").groupBy("feature").agg(
+            table = df.sparkSession.createDataFrame([(c, [float(z) for z in g]) for c, g in grid.items()], "feature string, lam array<double>")
+            tried = long.join(F.broadcast(table), "feature").groupBy("feature").agg(  # a row for each column
                 F.sum(F.sign("x") * F.log1p(F.abs("x"))).alias("j"), F.count("*").alias("n"),
                 *[F.var_pop(yeo_johnson(F.col("x"), F.col("lam")[i])).alias(f"v{i}") for i in range(points)])
             found = {r["feature"]: r for r in tried.collect()}
