@@ -142,3 +142,13 @@ def test_padding_uses_the_series_mean(spark):
     out = S.pad_truncate(df)
     assert {r["ci_name"]: r["c"] for r in out.groupBy("ci_name").agg(F.count("*").alias("c")).collect()} == {f"A{i}": 4 for i in range(4)}
     assert np.isclose(out.filter("ci_name = 'A2' AND pos = 4").first()["event_value"], 1.0)
+
+
+def test_all_k_are_scored_from_one_pass_over_the_distances(spark, monkeypatch):
+    from pulsegrid.functions import blocks as B
+
+    calls, meet = [], B.meet
+    monkeypatch.setattr(B, "meet", lambda *a, **k: calls.append(1) or meet(*a, **k))
+    rows = [(f"i{i}", [float(i % 3) * 9 + i / 100, float(i % 3 == 1) * 9]) for i in range(30)]
+    score, k, labels = FP.best_kmeans(spark.createDataFrame(rows, "item string, vec array<double>"), (2, 3), 2)
+    assert len(calls) == 1 and k == 3 and score > 0.9 and labels.count() == 30
