@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.llm.components import connected
 from pulsegrid.llm.simhash import _signed, block_masks
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_to_files
 
 #: Differing bits, blocks of which two agree, least edit similarity, and words of a line that is compared at all.
 RADIUS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.8, 5
@@ -78,19 +78,19 @@ def line_groups(docs: DataFrame, seen: DataFrame, radius: int = RADIUS, blocks:
     met = distinct.select("k", "fp", "size", F.explode(keys).alias("key")).select("key.choice", "key.bits", "k", "fp", "size")
     # the smallest line of each key, and only keys under which lines meet
     first = met.groupBy("choice", "bits").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = cut_lineage(met.join(first, ["choice", "bits"]))
+    member = cut_to_files(met.join(first, ["choice", "bits"]))
     lead = distinct.toDF("b", "fp", "size").alias("b")
     star = member.where("k <> first").alias("a").join(lead, F.col("a.first") == F.col("b.b")).where(_close(radius, similarity))
-    star = cut_lineage(star.select(F.col("a.k").alias("a"), "b.b").distinct())
-    links = cut_lineage(_similar(docs, seen, star, similarity))
+    star = cut_to_files(star.select(F.col("a.k").alias("a"), "b.b").distinct())
+    links = cut_to_files(_similar(docs, seen, star, similarity))
     groups = connected(links, "a", "b")
     labelled = member.join(groups, F.col("k") == F.col("node"), "left").select("choice", "bits", "k", "fp", "size", F.coalesce("component", "k").alias("label"))
-    other = cut_lineage(labelled)
+    other = cut_to_files(labelled)
     earlier = [F.col("a.fp").bitwiseXOR(F.col("b.fp")).bitwiseAND(F.lit(m)) == 0 for m in masks]
     met_before = reduce(lambda x, y: x | y, [(F.col("a.choice") > i) & e for i, e in enumerate(earlier)])  # a pair counts under its first key
     across = other.alias("a").join(other.alias("b"), (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits"))
                                    & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label")) & _close(radius, similarity) & ~met_before)
-    across = cut_lineage(across.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
+    across = cut_to_files(across.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
     if not across.isEmpty():
         links = links.unionByName(_similar(docs, seen, across, similarity))
         groups = connected(links, "a", "b")
@@ -106,7 +106,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RAD
     texts have no lines. Rows that repeat an id, or have none, count as one document: a line number is dropped if any of
     its lines is. An empty table gives no rows.
     """
-    seen = cut_lineage(occurrences(docs, min_words))
+    seen = cut_to_files(occurrences(docs, min_words))
     groups = line_groups(docs, seen, radius, blocks, similarity).withColumnRenamed("k", "member")
     labelled = seen.join(groups, F.col("k") == F.col("member"), "left").select("doc_id", "line_no", F.coalesce("label", "k").alias("label"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")

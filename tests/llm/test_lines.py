@@ -1,7 +1,9 @@
 """Fuzzy line groups against a comparison of all pairs."""
 
+import os
 import random
 import re
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,13 @@ def test_query_compares_lines_of_few_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in queries.op2_fuzzy_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (3, []), 2: (3, [0, 1]), 3: (3, [0, 2])}
+
+
+def test_table_of_lines_takes_little_disk(spark, monkeypatch):
+    rng = random.Random(9)
+    kept, cut = [], lines.cut_to_files
+    monkeypatch.setattr(lines, "cut_to_files", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(9)) for _ in range(20))) for i in range(400)]
+    lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    size = sum(os.path.getsize(urlparse(f).path) for f in kept[0].inputFiles())
+    assert kept[0].count() == 8000 and size < 32 * 8000  # a row of five numbers takes more than 48 bytes in memory
