@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.llm.components import connected
 from pulsegrid.llm.simhash import _signed, block_masks
@@ -33,7 +33,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def line_words(line: Column) -> Column:
     """A line's lower-case words, stretches of letters and digits."""
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -45,54 +45,70 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES).transform(words.where(F.size("words") >= min_words))
     sides = BucketedRandomProjectionLSH(inputCol="tf", outputCol="sides", bucketLength=1e9, numHashTables=BITS, seed=SEED)
     hashed = sides.fit(counted).transform(counted)  # one bucket on each side of a direction: -1 or 0
-    bits = [F.shiftleft((vector_to_array(F.col("sides")[i])[0] < 0).cast("long"), i) for i in range(BITS)]
+    side = lambda fp, s: F.shiftrightunsigned(fp, 1).bitwiseOR(F.when(vector_to_array(s)[0] < 0, F.lit(-1 << BITS - 1)).otherwise(F.lit(0).cast("long")))
+    # one small lambda: 64 expressions side by side make a method that the JVM does not compile
     return hashed.select("doc_id", "line_no", F.xxhash64("words").alias("k"), F.length(F.array_join("words", " ")).alias("size"),
-                         reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
+                         F.aggregate("sides", F.lit(0).cast("long"), side).alias("fp"))
 
 
-def _close(radius: int, similarity: float) -> Column:
-    """Whether two lines ``a`` and ``b`` may be similar, by their fingerprints and lengths."""
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    return near & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size"))
+def distinct_lines(seen: DataFrame) -> DataFrame:
+    """``(k, fp, size, id, no, n)`` of the different lines of ``seen``: a place ``id``, ``no`` where each stands, and how often it does."""
+    known = [F.first(F.col(c)).alias(name) for c, name in (("fp", "fp"), ("size", "size"), ("doc_id", "id"), ("line_no", "no"))]
+    return seen.groupBy("k").agg(*known, F.count("*").alias("n"))
 
 
-def _similar(docs: DataFrame, seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _close(a: tuple[Column, Column], b: tuple[Column, Column], radius: int, similarity: float) -> Column:
+    """Whether two lines, each a fingerprint and a length, may be similar."""
+    near = F.bit_count(a[0].bitwiseXOR(b[0])) <= radius
+    return near & (F.least(a[1], b[1]) >= similarity * F.greatest(a[1], b[1]))
+
+
+def _without_start(pairs: DataFrame) -> DataFrame:
+    """Word lists ``x`` and ``y`` without their common first words, and turned round."""
+    apart = F.array_position(F.zip_with("x", "y", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    pairs = pairs.withColumn("start", F.when(apart > 0, apart).otherwise(F.size("x") + 1))
+    return pairs.withColumns({c: F.reverse(F.slice(c, F.col("start"), F.size(c))) for c in ("x", "y")}).drop("start")
+
+
+def _similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of line hashes whose words have at least the edit similarity; one line each is looked up again."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    place = F.min(F.struct("doc_id", "line_no")).alias("at")
-    wanted = seen.select("k", "doc_id", "line_no").join(asked, "k").groupBy("k").agg(place).select("k", F.col("at.doc_id").alias("id"), F.col("at.line_no").alias("no"))
+    wanted = distinct.select("k", "id", "no").join(asked, "k")
     found = line_table(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("no")))
     texts = found.select("k", F.explode(F.array(line_words(F.col("line")))).alias("words")).where(F.xxhash64("words") == F.col("k"))
-    texts = texts.groupBy("k").agg(F.first(F.array_join("words", " ")).alias("norm"))
+    texts = texts.groupBy("k").agg(F.first("words").alias("words"))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - similarity) + 1e-9).cast("int"))
+    longer = F.greatest(*[F.length(F.array_join(c, " ")) for c in ("x", "y")])
+    both = _without_start(_without_start(both.withColumn("most", F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int"))))  # common ends take no edits
+    both = both.withColumns({c: F.concat_ws(" ", F.array(F.lit("")), c) for c in ("x", "y")})  # a space before each word that is left
     few = F.expr("levenshtein(x, y, least(most, 8 + most div 10))") >= 0  # a narrow band of edits settles most pairs
     return both.where(F.when(few, True).otherwise(F.expr("levenshtein(x, y, most)") >= 0)).select("a", "b")
 
 
-def line_groups(docs: DataFrame, seen: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(k, label)`` of the lines ``seen`` that are linked to others, by all links of lines of different text."""
+def line_groups(docs: DataFrame, distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(k, label)`` of the ``distinct`` lines that are linked to others, by all links of lines of different text."""
     masks = [_signed(m) for m in block_masks(radius, blocks)]
-    distinct = seen.groupBy("k").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
     met = distinct.select("k", "fp", "size", F.explode(keys).alias("key")).select("key.choice", "key.bits", "k", "fp", "size")
-    # the smallest line of each key, and only keys under which lines meet
-    first = met.groupBy("choice", "bits").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = cut_to_files(met.join(first, ["choice", "bits"]))
-    lead = distinct.toDF("b", "fp", "size").alias("b")
-    star = member.where("k <> first").alias("a").join(lead, F.col("a.first") == F.col("b.b")).where(_close(radius, similarity))
-    star = cut_to_files(star.select(F.col("a.k").alias("a"), "b.b").distinct())
-    links = cut_to_files(_similar(docs, seen, star, similarity))
+    by_key = Window.partitionBy("bits", "choice").orderBy("k")  # one shuffle gives each key's lines their smallest one
+    smallest = [F.first(c).over(by_key).alias(f"first_{c}") for c in ("k", "fp", "size")]
+    member = met.select("*", *smallest, F.row_number().over(by_key).alias("rank"), F.lead("k").over(by_key).alias("next")).where("rank > 1")
+    near = _close((F.col("fp"), F.col("size")), (F.col("first_fp"), F.col("first_size")), radius, similarity)
+    # the smallest line is compared with all others here, so two lines that meet alone are done with
+    member = cut_to_files(member.select("choice", "bits", "k", "fp", "size", ((F.col("rank") > 2) | F.col("next").isNotNull()).alias("more"), F.when(near, F.col("first_k")).alias("b")).where("more OR b IS NOT NULL"))
+    star = cut_to_files(member.where("b IS NOT NULL").select(F.col("k").alias("a"), "b").distinct())
+    links = cut_to_files(_similar(docs, distinct, star, similarity))
     groups = connected(links, "a", "b")
-    labelled = member.join(groups, F.col("k") == F.col("node"), "left").select("choice", "bits", "k", "fp", "size", F.coalesce("component", "k").alias("label"))
-    other = cut_to_files(labelled)
+    other = member.where("more").join(groups, F.col("k") == F.col("node"), "left").select("choice", "bits", "k", "fp", "size", F.coalesce("component", "k").alias("label"))
+    other = cut_to_files(other)
     earlier = [F.col("a.fp").bitwiseXOR(F.col("b.fp")).bitwiseAND(F.lit(m)) == 0 for m in masks]
     met_before = reduce(lambda x, y: x | y, [(F.col("a.choice") > i) & e for i, e in enumerate(earlier)])  # a pair counts under its first key
+    close = _close((F.col("a.fp"), F.col("a.size")), (F.col("b.fp"), F.col("b.size")), radius, similarity)
     across = other.alias("a").join(other.alias("b"), (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits"))
-                                   & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label")) & _close(radius, similarity) & ~met_before)
+                                   & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label")) & close & ~met_before)
     across = cut_to_files(across.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
     if not across.isEmpty():
-        links = links.unionByName(_similar(docs, seen, across, similarity))
+        links = links.unionByName(_similar(docs, distinct, across, similarity))
         groups = connected(links, "a", "b")
     return groups.toDF("k", "label")
 
@@ -107,15 +123,19 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RAD
     its lines is. An empty table gives no rows.
     """
     seen = cut_to_files(occurrences(docs, min_words))
-    groups = line_groups(docs, seen, radius, blocks, similarity).withColumnRenamed("k", "member")
-    labelled = seen.join(groups, F.col("k") == F.col("member"), "left").select("doc_id", "line_no", F.coalesce("label", "k").alias("label"))
+    distinct = cut_to_files(distinct_lines(seen))
+    groups = line_groups(docs, distinct, radius, blocks, similarity).withColumnRenamed("k", "member")
+    # only lines that stand twice or are linked can be dropped
+    shared = distinct.join(groups, F.col("k") == F.col("member"), "left").where("n > 1 OR label IS NOT NULL").select("k", F.coalesce("label", "k").alias("label"))
+    labelled = cut_to_files(seen.select("doc_id", "line_no", "k").join(shared, "k").select("doc_id", "line_no", "label"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    kept = labelled.groupBy("label").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("label").alias("group"), "kept")
-    drop = labelled.join(kept, F.col("label") == F.col("group"), "left").withColumn("drop", F.coalesce(place != F.col("kept"), F.lit(False)))
-    by_doc = drop.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("drop"), F.col("line_no")))).alias("dropped"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    return ids.join(by_doc, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    kept = labelled.groupBy("label").agg(F.min(place).alias("kept")).select(F.col("label").alias("group"), "kept")
+    drop = labelled.join(kept, F.col("label") == F.col("group")).where(place != F.col("kept"))
+    drop = drop.groupBy(F.col("doc_id").alias("in")).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    counts = seen.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_lines"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = ids.join(counts, F.col("doc_id").eqNullSafe(F.col("of")), "left").join(drop, F.col("doc_id").eqNullSafe(F.col("in")), "left")
+    return ids.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def without_dropped(docs: DataFrame, dropped: DataFrame) -> DataFrame:

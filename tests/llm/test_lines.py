@@ -3,9 +3,11 @@
 import os
 import random
 import re
+from collections import Counter
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import lines, queries
@@ -113,3 +115,39 @@ def test_table_of_lines_takes_little_disk(spark, monkeypatch):
     lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
     size = sum(os.path.getsize(urlparse(f).path) for f in kept[0].inputFiles())
     assert kept[0].count() == 8000 and size < 32 * 8000  # a row of five numbers takes more than 48 bytes in memory
+
+
+def test_fingerprints_are_the_sides_of_random_directions(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1"]) for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=lines.FEATURES).transform(docs.select("doc_id", F.split("text", " ").alias("words")))
+    lsh = BucketedRandomProjectionLSH(inputCol="tf", outputCol="sides", bucketLength=1e9, numHashTables=lines.BITS, seed=lines.SEED)
+    want = {r["doc_id"]: sum(1 << i for i, s in enumerate(r["sides"]) if s[0] < 0) for r in lsh.fit(tf).transform(tf).collect()}
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in lines.occurrences(docs, 1).collect()} == want
+    assert {fp >> 63 for fp in want.values()} == {0, 1}
+
+
+def test_lines_that_meet_alone_are_not_stored(spark, monkeypatch):
+    rng = random.Random(9)
+    kept, cut = [], lines.cut_to_files
+    monkeypatch.setattr(lines, "cut_to_files", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = [(i, "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) for _ in range(20))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines.dropped_lines(docs, blocks=4).count()
+    fps = [r["fp"] % (1 << 64) for r in lines.occurrences(docs).collect()]
+    met = [n for m in lines.block_masks(3, 4) for n in Counter(fp & m for fp in fps).values()]
+    stored = [df.count() for df in kept if "bits" in df.columns]
+    assert sum(n == 2 for n in met) > 50 and max(stored) <= sum(n for n in met if n > 2)
+
+
+def test_common_words_change_no_edit_distance(spark):
+    rng = random.Random(5)
+    texts = sorted({" ".join(rng.choice(["a", "ab", "b", "bab"]) for _ in range(rng.randint(1, 7))) for _ in range(60)})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    distinct = lines.distinct_lines(lines.occurrences(docs, 1))
+    key = {texts[r["id"]]: r["k"] for r in distinct.collect()}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    found = lines._similar(docs, distinct, spark.createDataFrame([(key[a], key[b]) for a, b in pairs], "a long, b long"), 0.6)
+    want = {(key[a], key[b]) for a, b in pairs if 1 - edits(a, b) / max(len(a), len(b)) >= 0.6 - 1e-9}
+    assert {tuple(r) for r in found.collect()} == want and 0 < len(want) < len(pairs)
