@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,6 +22,8 @@ from pulsegrid.session import cut_lineage
 SEED = 42
 #: Rounds of drawing candidates for starting centres, and candidates a round for each centre (on average).
 START_ROUNDS, START_FACTOR = 3, 2.0
+#: Tasks whose sums are added up on the driver at most; sums of more are added up in the executors first.
+MANY_TASKS = 64
 
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -59,58 +64,88 @@ def _weighted_start(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generat
     return x[picks]
 
 
+def _packed(df: DataFrame, seed: int) -> RDD:
+    """``(hashes, vectors)`` of the rows as arrays, kept in the executors: a scan of them plans no query and shuffles nothing.
+
+    They lie in a task for each core, whatever the number of the table's tasks: a scan of few rows costs the start of its tasks.
+    """
+    def pack(batches):
+        for batch in batches:
+            x = B.matrix(batch.column("vec"))
+            if len(x):
+                h = batch.column("h").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h.tobytes()], pa.binary()), "vec": pa.array([x.tobytes()], pa.binary())})
+
+    keyed = df.select(F.xxhash64(F.col("item").cast("string"), F.lit(seed)).alias("h"), "vec")
+    rows = keyed.mapInArrow(pack, "h binary, vec binary").rdd
+    arrays = rows.map(lambda r: (np.frombuffer(r["h"], np.int64), np.frombuffer(r["vec"]).reshape(len(r["h"]) // 8, -1)))
+    return arrays.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _added(parts: RDD) -> list[np.ndarray]:
+    """Arrays of all tasks added up, in stages where there are very many tasks."""
+    add = lambda a, b: [x + y for x, y in zip(a, b)]
+    return parts.treeReduce(add) if parts.getNumPartitions() > MANY_TASKS else reduce(add, parts.collect())
+
+
 def starting_centres(df: DataFrame, runs: list[tuple[int, int]], seed: int = SEED) -> dict[tuple[int, int], np.ndarray]:
     """Starting centres of each ``(k, restart)`` by k-means|| over all rows.
 
     Each round draws rows with probability growing with their squared distance from the candidates so far, about
     ``2 k`` of them for each run; the candidates, weighted by the rows nearest to them, are then reduced to ``k``.
     """
+    blocks = _packed(df.select("item", F.col("vec").cast("array<double>").alias("vec")), seed)
+    try:
+        return _starts(df, blocks, runs, seed)
+    finally:
+        blocks.unpersist()
+
+
+def _starts(df: DataFrame, blocks: RDD, runs: list[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
     keyed = df.select(F.xxhash64(F.col("item").cast("string"), F.lit(seed)).alias("h"), "vec")
     restarts = sorted({r for _, r in runs})
     first = keyed.agg(*[F.min_by("vec", F.xxhash64("h", F.lit(r))).alias(f"v{r}") for r in restarts]).first()
     found = {run: np.array([first[f"v{run[1]}"]], float) for run in runs}
 
-    def distances(pdf, centres):
-        return _nearest(B.stack(pdf["vec"]), centres)
+    def scan(use):
+        """What ``use(total, hashes, rows, distances to all candidates, where each run's begin)`` leaves in ``total``, for each run by task."""
+        centres, cuts = np.concatenate([found[run] for run in runs]), np.cumsum([0, *[len(found[run]) for run in runs]])
 
-    def spent(batches, found=None):
-        total = np.zeros(len(runs))
-        for pdf in batches:
-            if len(pdf):
-                total += [float((distances(pdf, found[run])[1] ** 2).sum()) for run in runs]
-        yield pd.DataFrame({"run": range(len(runs)), "v": total})
+        def task(parts):
+            total = [[] for _ in cuts[1:]]
+            for h, x in parts:
+                for piece in B.strips(len(x), len(centres)):
+                    use(total, h[piece], x[piece], B.euclidean(x[piece], centres), cuts)
+            yield total
+
+        return zip(*blocks.mapPartitions(task).collect())
+
+    def spent(total, h, x, d, cuts):
+        near = np.minimum.reduceat(d, cuts[:-1], axis=1)
+        for i, v in enumerate((near ** 2).sum(axis=0)):
+            total[i] = [float(v) + sum(total[i])]
+
+    def owned(total, h, x, d, cuts):
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            total[i] = np.bincount(d[:, a:b].argmin(axis=1), minlength=b - a) + (total[i] if len(total[i]) else 0)
 
     for step in range(START_ROUNDS):
-        now = dict(found)
-        cost = dict(keyed.mapInPandas(lambda b, now=now: spent(b, now), "run int, v double").groupBy("run").agg(F.sum("v")).collect())
+        cost = [sum(v for part in own for v in part) for own in scan(spent)]
 
-        def drawn(batches, now=now, cost=cost, step=step):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                h = pdf["h"].to_numpy(np.int64)
-                for i, run in enumerate(runs):
-                    chance = START_FACTOR * run[0] * distances(pdf, now[run])[1] ** 2 / max(cost[i], 1e-300)
-                    hit = np.flatnonzero(_uniform(h, 1 + i * START_ROUNDS + step) < chance)
-                    if hit.size:
-                        yield pd.DataFrame({"run": i, "h": h[hit], "vec": pdf["vec"].to_numpy()[hit]})
-
-        for r in sorted(keyed.mapInPandas(drawn, "run int, h long, vec array<double>").collect(), key=lambda r: (r["run"], r["h"])):
-            found[runs[r["run"]]] = np.vstack([found[runs[r["run"]]], r["vec"]])
-
-    def owned(batches):
-        total = [np.zeros(len(found[run])) for run in runs]
-        for pdf in batches:
-            if len(pdf):
-                for i, run in enumerate(runs):
-                    total[i] += np.bincount(distances(pdf, found[run])[0], minlength=len(total[i]))
-        for i, t in enumerate(total):
-            yield pd.DataFrame({"run": i, "c": range(len(t)), "n": t})
+        def drawn(total, h, x, d, cuts, cost=cost, step=step):
+            near = np.minimum.reduceat(d, cuts[:-1], axis=1)
+            for i, run in enumerate(runs):
+                chance = START_FACTOR * run[0] * near[:, i] ** 2 / max(cost[i], 1e-300)
+                for k in np.flatnonzero(_uniform(h, 1 + i * START_ROUNDS + step) < chance):
+                    total[i].append((int(h[k]), x[k].tolist()))
 
-    weights = {run: np.zeros(len(found[run])) for run in runs}
-    for run, c, n in keyed.mapInPandas(owned, "run int, c int, n double").groupBy("run", "c").agg(F.sum("n")).collect():
-        weights[runs[run]][c] = n
-    return {run: _weighted_start(found[run], weights[run], run[0], np.random.default_rng([seed, *run])) for run in runs}
+        gained = [sorted(v for part in own for v in part) for own in scan(drawn)]
+        for run, own in zip(runs, gained):
+            if own:
+                found[run] = np.vstack([found[run], [v for _, v in own]])
+
+    weights = [sum(np.asarray(n, float) for n in own if len(n)) for own in scan(owned)]
+    return {run: _weighted_start(found[run], w, run[0], np.random.default_rng([seed, *run])) for run, w in zip(runs, weights)}
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,34 +158,31 @@ def kmeans_restarts(df: DataFrame, ks: tuple[int, ...], restarts: int = 20, seed
                     tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
     """Best centres and cost per ``k`` over many starts, each moved until it settles.
 
-    All starts of all ``k`` still moving advance in the same scan of a kept slim table: each task sends
-    one partial sum per centre, so a scan's traffic does not depend on the rows.
+    All starts of all ``k`` still moving advance in the same scan of the rows, which the executors keep as arrays: each task
+    sends one partial sum per centre, so a scan's traffic does not depend on the rows.
     """
     # a small file is one task, however many rows it has
     kept = spread_work(df.select("item", F.col("vec").cast("array<double>").alias("vec")), "item").persist()
+    blocks = _packed(kept, seed)
     try:
-        return _moved(kept, ks, restarts, seed, tol)
+        runs = _starts(kept, blocks, [(k, r) for k in ks for r in range(restarts)], seed)
+        scale = float(np.diag(moments(kept)[2]).mean()) or 1.0
+        return _moved(blocks, runs, tol * scale, ks, restarts)
     finally:
+        blocks.unpersist()
         kept.unpersist()
 
 
-def _moved(df: DataFrame, ks: tuple[int, ...], restarts: int, seed: int, tol: float) -> dict[int, tuple[np.ndarray, float]]:
-    runs = starting_centres(df, [(k, r) for k in ks for r in range(restarts)], seed)
-    scale = float(np.diag(moments(df)[2]).mean()) or 1.0
-    moving, cost = set(runs), {}
-    slim = df.select("vec")
-    spark = df.sparkSession
+def _moved(blocks: RDD, runs: dict[tuple[int, int], np.ndarray], near: float, ks: tuple[int, ...], restarts: int) -> dict[int, tuple[np.ndarray, float]]:
+    """The best run of each ``k`` after all have moved until a round's steps are ``near`` at most, squared and added up."""
+    runs, moving, cost = dict(runs), set(runs), {}
     while moving:
         live = sorted(moving)
-        shared = spark.sparkContext.broadcast([runs[key] for key in live])
-
-        cuts = np.cumsum([0, *[len(runs[key]) for key in live]])
+        centres, cuts = np.concatenate([runs[key] for key in live]), np.cumsum([0, *[len(runs[key]) for key in live]])
 
-        def partial(batches, cuts=cuts, shared=shared):
-            centres = np.concatenate(shared.value)
+        def partial(parts, centres=centres, cuts=cuts):
             n, sq, total = np.zeros(len(centres), int), np.zeros(len(centres)), np.zeros(centres.shape)
-            for batch in batches:
-                rows = B.matrix(batch.column("vec"))
+            for _, rows in parts:
                 for piece in B.strips(len(rows), len(centres)):
                     x = rows[piece]
                     d = B.euclidean(x, centres)
@@ -161,28 +193,17 @@ def _moved(df: DataFrame, ks: tuple[int, ...], restarts: int, seed: int, tol: fl
                         n += np.bincount(at, minlength=len(n))
                         sq += np.bincount(at, weights=d[np.arange(len(x)), at] ** 2, minlength=len(n))
                     total += hot @ x
-            used = np.flatnonzero(n)
-            run = np.searchsorted(cuts, used, side="right") - 1
-            yield pa.RecordBatch.from_pydict({
-                "run": pa.array(run, pa.int32()), "c": pa.array(used - cuts[run], pa.int32()), "n": n[used], "sq": sq[used],
-                "total": pa.array(list(total[used]), pa.list_(pa.float64()))})
-
-        parts = slim.mapInArrow(partial, "run int, c int, n long, sq double, total array<double>")
-        sums = parts.groupBy("run", "c").agg(
-            F.sum("n").alias("n"), F.sum("sq").alias("sq"),
-            vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total")).collect()
-        new = [runs[key].copy() for key in live]
-        spent = np.zeros(len(live))
-        for r in sums:
-            new[r["run"]][r["c"]] = np.array(r["total"]) / r["n"]
-            spent[r["run"]] += r["sq"]
-        for i, key in enumerate(live):
-            cost[key] = float(spent[i])
-            if ((new[i] - runs[key]) ** 2).sum() <= tol * scale:
+            yield [n, sq, total]
+
+        n, sq, total = _added(blocks.mapPartitions(partial))
+        for key, a, b in zip(live, cuts, cuts[1:]):
+            cost[key] = float(sq[a:b].sum())
+            used = n[a:b, None] > 0
+            new = np.where(used, total[a:b] / np.maximum(n[a:b, None], 1), runs[key])
+            if ((new - runs[key]) ** 2).sum() <= near:
                 moving.discard(key)
             else:
-                runs[key] = new[i]
-        shared.unpersist()
+                runs[key] = new
     return {k: min(((runs[(k, r)], cost[(k, r)]) for r in range(restarts)), key=lambda t: t[1]) for k in ks}
 
 

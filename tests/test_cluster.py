@@ -40,6 +40,39 @@ def test_starting_centres_come_from_all_rows(spark):
     assert all(np.allclose(starts[k], again[k]) for k in starts)
 
 
+def test_rounds_of_kmeans_plan_no_query(spark, monkeypatch):
+    """All restarts move over rows that the executors keep as arrays, and settle where a plain loop settles."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(f"i{i}", v.tolist()) for i, v in enumerate(x)], "item string, vec array<double>").persist()
+    starts = C.starting_centres(df, [(k, r) for k in (2, 6) for r in range(3)])
+    calls, rounds = [], []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, lambda *a, fn=getattr(type(df), name), **k: calls.append(1) or fn(*a, **k))
+    added = C._added
+    monkeypatch.setattr(C, "_added", lambda parts: rounds.append(1) or added(parts))
+    got = C.kmeans_restarts(df, (2, 6), 3)
+    assert len(calls) <= 2 < 8 <= len(rounds)
+    for k, (centres, cost) in got.items():
+        costs = []
+        for run in (run for run in starts if run[0] == k):
+            c, step = starts[run], np.inf
+            while step > 1e-4 * x.var(axis=0).mean():
+                d = ((x[:, None] - c[None]) ** 2).sum(-1)
+                new = np.array([x[d.argmin(1) == j].mean(axis=0) if (d.argmin(1) == j).any() else c[j] for j in range(k)])
+                step, before, c = ((new - c) ** 2).sum(), c, new
+            costs.append((d.min(1).sum(), before))
+        best = min(costs, key=lambda t: t[0])
+        assert cost == pytest.approx(best[0]) and np.allclose(centres, best[1])
+
+
+def test_sums_of_many_tasks_are_added_in_stages(spark, monkeypatch):
+    parts = spark.sparkContext.parallelize([[np.full(2, i), i] for i in range(9)], 9)
+    whole = C._added(parts)
+    monkeypatch.setattr(C, "MANY_TASKS", 4)
+    assert np.array_equal(C._added(parts)[0], whole[0]) and C._added(parts)[1] == whole[1] == 36
+
+
 def test_rows_go_out_once_for_each_of_few_blocks(spark):
     """Kernels that work in strips get blocks that grow with the table, so a row's copies do not."""
     df = blobs(spark, 400).select("item", "vec")
