@@ -40,17 +40,26 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         kept.unpersist()
 
 
+def _long(df: DataFrame, x: list[Column], spans: list[tuple[float, float]] | None = None) -> DataFrame:
+    """``(i, x)``: the values of each column, those within its span if spans are given.
+
+    One expression for all columns: a plan with some for each of a hundred columns takes longer to compile than to run.
+    """
+    long = df.select(F.posexplode(F.array(*x)).alias("i", "x")).where("x IS NOT NULL")
+    if spans is None:
+        return long
+    low, high = (F.get(F.lit([s[end] for s in spans]), "i") for end in (0, 1))
+    return long.where(F.col("x").between(low, high))
+
+
 def _between_cuts(df: DataFrame, x: dict[str, Column], cuts: dict[str, set[float]]) -> dict[str, list[tuple[int, int, float, float]]]:
     """``(place, values, smallest, largest)`` of each column in order; odd places hold the values equal to a cut.
 
     Cuts are values of the column, so an open place always has fewer distinct values than the bracket it was cut from.
     """
-    def place(c: str) -> Column:
-        marks = sorted(v for v in cuts[c] if v == v) + [math.nan] * any(v != v for v in cuts[c])
-        return sum(((x[c] > v).cast("int") + (x[c] >= v).cast("int") for v in marks), F.lit(0))
-
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x[c].alias("x"), place(c).alias("place")) for i, c in enumerate(x)]))
-    rows = df.select(each.alias("e")).select("e.*").where("x IS NOT NULL").groupBy("i", "place").agg(
+    marks = F.lit([sorted(v for v in cuts[c] if v == v) + [math.nan] * any(v != v for v in cuts[c]) for c in x])
+    place = F.aggregate(F.get(marks, "i"), F.lit(0), lambda s, v: s + (F.col("x") > v).cast("int") + (F.col("x") >= v).cast("int"))
+    rows = _long(df, list(x.values())).withColumn("place", place).groupBy("i", "place").agg(
         F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "place").collect()
     out: dict[str, list] = {c: [] for c in x}
     for r in rows:
@@ -60,17 +69,16 @@ def _between_cuts(df: DataFrame, x: dict[str, Column], cuts: dict[str, set[float
 
 def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int) -> dict[str, list[float | None]]:
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    head = df.agg(*[f(x[c]).alias(f"{k}{i}") for i, c in enumerate(cols)
-                    for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    size = {c: head[f"n{i}"] for i, c in enumerate(cols)}
+    head = {cols[r["i"]]: r for r in _long(df, list(x.values())).groupBy("i").agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}  # a row for each column
+    size = {c: head[c]["n"] if c in head else 0 for c in cols}
     found: dict[str, dict[int, float]] = {c: {} for c in cols}
     # open brackets: (column, rank) -> [low, high, values below low, values inside]
     open_: dict[tuple[str, int], list] = {}
-    for i, c in enumerate(cols):
-        n = size[c]
+    for c, n in size.items():
         for p in probs if n else []:
             for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                open_[(c, r)] = [head[f"lo{i}"], head[f"hi{i}"], 0, n]
+                open_[(c, r)] = [head[c]["lo"], head[c]["hi"], 0, n]
     while open_:
         for (c, r), (lo, hi, _, _) in list(open_.items()):
             if lo == hi:
@@ -86,12 +94,12 @@ def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int
             small[key] = b
         if small:
             index = {s: i for i, s in enumerate(sorted(spans))}
-            lists = df.agg(*[
-                F.array_sort(F.collect_list(F.when(x[c].between(lo, hi), x[c]))).alias(f"l{i}")
-                for (c, lo, hi), i in index.items()
-            ]).first()
+            lists: dict[int, list[float]] = {}
+            for r in _long(df, [x[c] for c, _, _ in index], [(lo, hi) for _, lo, hi in index]).collect():  # bounded by ``in_memory``
+                lists.setdefault(r["i"], []).append(r["x"])
+            lists = {i: sorted(v, key=lambda y: (y != y, y)) for i, v in lists.items()}
             for (c, r), b in small.items():
-                found[c][r] = lists[f"l{index[(c, b[0], b[1])]}"][r - b[2]]
+                found[c][r] = lists[index[(c, b[0], b[1])]][r - b[2]]
                 del open_[(c, r)]
         if not open_:
             break
@@ -99,13 +107,13 @@ def _narrowed(df: DataFrame, cols: list[str], probs: list[float], in_memory: int
         for (c, r), (lo, hi, below, inside) in open_.items():
             wanted.setdefault((c, lo, hi), set()).update(
                 max(0.0, min(1.0, (r - below) / inside + d)) for d in (-2 / _ACCURACY, 2 / _ACCURACY))
-        row = df.agg(*[
-            F.percentile_approx(F.when(x[c].between(lo, hi), x[c]), sorted(at), _ACCURACY).alias(f"q{i}")
-            for i, ((c, lo, hi), at) in enumerate(wanted.items())
-        ]).first()
+        shares = sorted(set().union(*wanted.values()))
+        near = _long(df, [x[c] for c, _, _ in wanted], [(lo, hi) for _, lo, hi in wanted]).groupBy("i").agg(
+            F.percentile_approx("x", shares, _ACCURACY).alias("q")).collect()
+        near = {r["i"]: dict(zip(shares, r["q"])) for r in near}
         cuts: dict[str, set[float]] = {}
-        for i, (c, _, _) in enumerate(wanted):
-            cuts.setdefault(c, set()).update(row[f"q{i}"])
+        for i, ((c, _, _), at) in enumerate(wanted.items()):
+            cuts.setdefault(c, set()).update(near[i][p] for p in at)
         parts = _between_cuts(df, {c: x[c] for c in cuts}, cuts)
         for c, r in list(open_):
             below = 0

@@ -263,27 +263,22 @@ def gmm_shared(df: DataFrame, k: int, kind: str, seed: int = SEED, tol: float =
         return np.exp(ll - norm), float(norm.sum())
 
     previous = -np.inf
-    slim = df.select("vec")
+    blocks = _packed(df.select("item", F.col("vec").cast("array<double>").alias("vec")), seed)
     while True:
         state = (weight, centres, cov)
 
-        def partial(batches, state=state):
+        def partial(parts, state=state):
             n, s, like, rows = np.zeros(k), np.zeros((k, dim)), 0.0, 0
             sq = np.zeros((dim, dim)) if kind == "tied" else np.zeros((k, dim))
-            for pdf in batches:
-                x = B.stack(pdf["vec"])
-                if not len(x):
-                    continue
+            for _, x in parts:
                 r, l = soft(x, *state)
                 like, rows = like + l, rows + len(x)
                 n += r.sum(0)
                 s += r.T @ x
                 sq += x.T @ x if kind == "tied" else r.T @ (x * x)
-            if rows:
-                yield pd.DataFrame([{"flat": np.concatenate([[like, rows], n, s.ravel(), sq.ravel()]).tolist()}])
+            yield [np.concatenate([[like, rows], n, s.ravel(), sq.ravel()])]
 
-        total = np.array(slim.mapInPandas(partial, "flat array<double>").agg(
-            vector_to_array(Summarizer.sum(array_to_vector(F.col("flat"))))).first()[0])
+        total = _added(blocks.mapPartitions(partial))[0]
         like, rows, n = total[0], total[1], np.maximum(total[2: 2 + k], 1e-10)
         s = total[2 + k: 2 + k + k * dim].reshape(k, dim)
         sq = total[2 + k + k * dim:]
@@ -295,6 +290,7 @@ def gmm_shared(df: DataFrame, k: int, kind: str, seed: int = SEED, tol: float =
         if abs(like / rows - previous) < tol:
             break
         previous = like / rows
+    blocks.unpersist()
     state = (weight, centres, cov)
 
     def label(batches):

@@ -151,3 +151,43 @@ def test_no_value_is_lost_to_nan():
     assert N.spectral(np.ones(50))["spectral_entropy"] is None
     # five templates that have a third value: (1,2) three times and (2,1) twice, so 3 + 1 pairs
     assert N.entropies(np.array([1.0, 2.0, 1.0, 2.0, 1.0, 2.0, 1.0]))["matches_2"] == 4
+
+
+def test_plans_for_quantiles_do_not_grow_with_the_columns(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 30)).round(2)
+    rows = [tuple(None if (i + c) % (c + 3) == 0 and c < 5 else float("nan") if c == 6 and i < 400 else float(v) for c, v in enumerate(r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{c} double" for c in range(30))).withColumn("none", F.lit(None).cast("double")).persist()
+    width, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *e: width.append(len(e)) or agg(self, *e))
+    got = exact_quantiles(df, df.columns, [0.1, 0.5], in_memory=50)
+    assert max(width, default=0) <= 3 and got["none"] == [None, None]
+    for c in range(30):
+        own = np.sort([r[c] for r in rows if r[c] is not None])
+        for p, v in zip((0.1, 0.5), got[f"c{c}"]):
+            at = p * (len(own) - 1)
+            want = own[int(at)] + (own[int(np.ceil(at))] - own[int(at)]) * (at % 1)
+            assert v == pytest.approx(want, nan_ok=True)
+
+
+def test_powers_come_from_scans_without_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    cols = {"a": rng.lognormal(size=500), "b": -rng.lognormal(size=500), "c": rng.normal(size=500) * 3, "same": np.full(500, 0.1), "gaps": rng.gamma(2, size=500)}
+    rows = [tuple(None if c == "gaps" and i % 3 else float(v[i]) for c, v in cols.items()) + (None,) for i in range(500)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", none double").repartition(7).persist()
+    calls, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: calls.append(1) or collect(self))
+    got = P.power_lambdas(df, df.columns)
+    assert not calls and got["same"] == got["none"] == 1.0
+    for c in ("a", "b", "c", "gaps"):
+        x = cols[c][::3] if c == "gaps" else cols[c]
+
+        def like(lam):
+            up = np.log1p(np.abs(x)) if abs(lam) < 1e-9 else ((np.abs(x) + 1) ** lam - 1) / lam
+            two = 2 - lam
+            down = -np.log1p(np.abs(x)) if abs(two) < 1e-9 else -((1 + np.abs(x)) ** two - 1) / two
+            return -len(x) / 2 * np.log(np.where(x >= 0, up, down).var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+        fine = np.arange(got[c] - 0.3, got[c] + 0.3, 1e-3)
+        assert abs(fine[np.argmax([like(v) for v in fine])] - got[c]) <= 2e-3
+    assert P.power_lambdas(df.limit(0), ["a"]) == {"a": 1.0}
