@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,6 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions import blocks as B
 from pulsegrid.functions.joins import spread_work
 from pulsegrid.functions.quantiles import exact_quantiles
 from pulsegrid.functions.stats import finite, safe_corr
@@ -353,62 +351,33 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def _tried_powers(x: np.ndarray, powers: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """Number of values, sum of their signed logarithms, mean and squared deviations of the values under each power."""
-    with np.errstate(all="ignore"):
-        log = np.log1p(np.abs(x))
-        up, out = x >= 0, np.empty((len(powers), len(x)))
-        for row, lam in zip(out, powers):
-            row[up] = log[up] if abs(lam) < 1e-9 else ((x[up] + 1) ** lam - 1) / lam
-            two = 2 - lam
-            row[~up] = -log[~up] if abs(two) < 1e-9 else -((1 - x[~up]) ** two - 1) / two
-        if not len(x):
-            return 0, 0.0, np.zeros(len(powers)), np.zeros(len(powers))
-        off = out - out[:, :1]  # equal values have no deviation at all
-        mid = off.mean(axis=1)
-        return len(x), float((np.sign(x) * log).sum()), out[:, 0] + mid, ((off - mid[:, None]) ** 2).sum(axis=1)
-
-
-def _merged(a: dict, b: dict) -> dict:
-    """Moments of two parts of the columns together."""
-    out = dict(a)
-    for c, (n, j, mean, m2) in b.items():
-        if c in out and out[c][0]:
-            n0, j0, mean0, m20 = out[c]
-            if n:
-                with np.errstate(all="ignore"):
-                    gap = mean - mean0
-                    out[c] = n0 + n, j0 + j, mean0 + gap * (n / (n0 + n)), m20 + m2 + gap * gap * (n0 * n / (n0 + n))
-        else:
-            out[c] = n, j, mean, m2
-    return out
-
-
 def power_lambdas(df: DataFrame, cols: list[str], tol: float = 1e-4, points: int = 9) -> dict[str, float]:
-    """Most likely power per column, to within ``tol``: each pass tries a few powers of every column in one scan of arrays that
-    the executors keep.
+    """Most likely power per column, to within ``tol``: each pass tries a few powers of every column in one aggregate.
 
     A bracket moves on while its best power lies on its edge and the likelihood still gains, and shrinks around it else.
     """
-    if not cols:
-        return {}
-    blocks = B.kept_columns(df, cols)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("e")).select("e.*")
+    long = long.filter("x IS NOT NULL").persist()
     brackets, best = {c: (-2.0, 2.0) for c in cols}, {c: (1.0, -math.inf) for c in cols}
     try:
         while brackets:
             grid = {c: np.linspace(lo, hi, points) for c, (lo, hi) in brackets.items()}
-
-            def tried(parts, grid=grid):
-                yield reduce(_merged, ({c: _tried_powers(x[c], g) for c, g in grid.items()} for x in parts), {})
-
-            found = reduce(_merged, blocks.mapPartitions(tried).collect(), {})  # a few numbers for each column and core
+            table = df.sparkSession.createDataFrame([(c, [float(z) for z in g]) for c, g in grid.items()], "feature string, lam array<double>")
+            # a variance reads its value several times: each power is taken once, before
+            moved = long.join(F.broadcast(table), "feature").select(  # a row for each column
+                "feature", "x", *[yeo_johnson(F.col("x"), F.col("lam")[i]).alias(f"y{i}") for i in range(points)])
+            tried = moved.groupBy("feature").agg(
+                F.sum(F.sign("x") * F.log1p(F.abs("x"))).alias("j"), F.count("*").alias("n"),
+                *[F.var_pop(f"y{i}").alias(f"v{i}") for i in range(points)])
+            found = {r["feature"]: r for r in tried.collect()}
             for c, g in grid.items():
-                n, j, _, m2 = found.get(c, (0, 0.0, None, None))
+                r = found.get(c)
                 like = np.full(points, -math.inf)
-                for i in range(points if n else 0):
-                    v = m2[i] / n
-                    if 0 < v < math.inf:
-                        like[i] = -n / 2 * math.log(v) + (g[i] - 1) * j
+                for i in range(points if r else 0):
+                    v = r[f"v{i}"]
+                    if v is not None and 0 < v < math.inf:
+                        like[i] = -r["n"] / 2 * math.log(v) + (g[i] - 1) * r["j"]
                 at = int(like.argmax())
                 gain = like[at] - best[c][1] if like[at] > -math.inf else 0.0
                 if gain > 0:
@@ -421,7 +390,7 @@ def power_lambdas(df: DataFrame, cols: list[str], tol: float = 1e-4, points: int
                 else:
                     brackets[c] = (float(g[at - 1]), float(g[at + 1]))
     finally:
-        blocks.unpersist()
+        long.unpersist()
     return {c: lam for c, (lam, _) in best.items()}
 
 
