@@ -163,17 +163,23 @@ def kmeans_restarts(df: DataFrame, ks: tuple[int, ...], restarts: int = 20, seed
     """
     # a small file is one task, however many rows it has
     kept = spread_work(df.select("item", F.col("vec").cast("array<double>").alias("vec")), "item").persist()
-    blocks = _packed(kept, seed)
     try:
-        runs = _starts(kept, blocks, [(k, r) for k in ks for r in range(restarts)], seed)
-        scale = float(np.diag(moments(kept)[2]).mean()) or 1.0
-        return _moved(blocks, runs, tol * scale, ks, restarts)
+        return _moved(kept, ks, restarts, seed, tol)
     finally:
-        blocks.unpersist()
         kept.unpersist()
 
 
-def _moved(blocks: RDD, runs: dict[tuple[int, int], np.ndarray], near: float, ks: tuple[int, ...], restarts: int) -> dict[int, tuple[np.ndarray, float]]:
+def _moved(df: DataFrame, ks: tuple[int, ...], restarts: int, seed: int, tol: float) -> dict[int, tuple[np.ndarray, float]]:
+    blocks = _packed(df, seed)
+    try:
+        runs = _starts(df, blocks, [(k, r) for k in ks for r in range(restarts)], seed)
+        scale = float(np.diag(moments(df)[2]).mean()) or 1.0
+        return _rounds(blocks, runs, tol * scale, ks, restarts)
+    finally:
+        blocks.unpersist()
+
+
+def _rounds(blocks: RDD, runs: dict[tuple[int, int], np.ndarray], near: float, ks: tuple[int, ...], restarts: int) -> dict[int, tuple[np.ndarray, float]]:
     """The best run of each ``k`` after all have moved until a round's steps are ``near`` at most, squared and added up."""
     runs, moving, cost = dict(runs), set(runs), {}
     while moving:
